@@ -63,12 +63,11 @@ def bins(first: np.ndarray, second: np.ndarray, k1: np.ndarray, k2: np.ndarray)
 
 
 def _between(lo: Key, hi: Key, probes: int) -> set[Key]:
-    """Candidate boundaries in (lo, hi]: between hashes where they differ, else between ids."""
-    if lo[0] != hi[0]:
-        a, b = lo[0], hi[0]
-        return {(x, _LOW) for n in range(1, probes + 1) if (x := a + -(-(b - a) * n // probes)) > a}
-    a, b = lo[1], hi[1]
-    return {(lo[0], x) for n in range(1, probes + 1) if (x := a + -(-(b - a) * n // probes)) > a}
+    """Candidate boundaries from lo to just above hi: between hashes where they differ, else between ids."""
+    level = 0 if lo[0] != hi[0] else 1
+    a, b = lo[level], hi[level]
+    at = {a + -(-(b - a) * n // probes) for n in range(probes + 1)} | {b + 1}
+    return {(x, _LOW) if level == 0 else (lo[0], x) for x in at if x < 2**63}
 
 
 def _count(rows: DataFrame, bounds: list[Key]) -> dict[int, tuple]:
