@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, repetition, sharding, simhash
+from . import bpe, mixing, pii, repetition, sharding, simhash
 
 SHARDS = 24
 
@@ -37,6 +37,15 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs)
+    count = lambda kind: F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in pii.KINDS[:4]]
+    base = F.sha2(pii.listed(F.col("base_spans")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.listed(F.col("spans")).alias("spans"))
+
+
 def op6_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return repetition.repetition_quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_chars", "dup_5gram_chars", "dup_8gram_chars", "dup_10gram_chars")
@@ -53,4 +62,4 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_sharding, op2_bpe_round_trip, op6_repetition_quality, op7_simhash_components, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_histogram_sharding, op2_bpe_round_trip, op5_personal_data, op6_repetition_quality, op7_simhash_components, op9_source_mixing)}
