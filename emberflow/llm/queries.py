@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, repetition, sharding, simhash
+from . import bpe, mixing, pii, repetition, sharding, simhash, urlfilter, warc
 
 SHARDS = 24
 
@@ -37,6 +37,12 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rows = warc.archive_and_read(pages)
+    return rows.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_personal_data(docs)
@@ -56,10 +62,15 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(docs, params=simhash.CONTRACT)
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_sharding, op2_bpe_round_trip, op5_personal_data, op6_repetition_quality, op7_simhash_components, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_histogram_sharding, op2_bpe_round_trip, op3_warc_round_trip, op5_personal_data, op6_repetition_quality, op7_simhash_components, op8_url_filter, op9_source_mixing)}
