@@ -1,12 +1,12 @@
 """Operator 2, exact byte-level BPE by dynamic programming over prefixes.
 
 For every prefix of a pre-token exactly one vocabulary entry can be the last
-token of its encoding. An Aho-Corasick automaton (a trie with suffix links) of
-the vocabulary lists the entries that end at each position; the one that is
+token of its encoding. A suffix automaton of the vocabulary (its trie with
+suffix links) lists the entries that end at each position; the one that is
 compatible with the last token of the shorter prefix before it is stored, and
 the ids are read off by following these back-pointers. Two tokens are compatible
-if encoding their joined bytes gives just these two. Costs are linear in the
-text; no merge loop runs over it.
+if no merge across their border comes before the merges inside them. Costs are
+linear in the text; no merge loop runs over it.
 
 Ids equal those of the published tokenizer files as the ``tokenizers`` library
 applies them without added special tokens; strings of special tokens that stand
@@ -23,20 +23,21 @@ import json
 from collections.abc import Iterator
 from itertools import pairwise
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
-
 #: Fixed value: the published pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens kept per worker with their ids; the store is emptied when full.
-CACHE = 200_000
-#: Longer pre-tokens are not kept.
-CACHE_BYTES = 64
+#: Entries of each half of a store of results in a worker; a full half replaces the other.
+CACHE = 150_000
+#: Prefixes whose last token is kept.
+PREFIXES = 300_000
+#: Longer words are not kept.
+CACHE_CHARS = 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,10 +62,72 @@ def load_vocabulary(path: str) -> dict:
     merges = {}
     for rank, pair in enumerate(spec["model"]["merges"]):
         left, right = pair if isinstance(pair, list) else pair.split(" ")
-        merges.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
+        merges.setdefault(ids[left] << 32 | ids[right], (rank, ids[left + right]))
     return {"tokens": tokens, "merges": merges, "special": special, "bytes": [ids[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]}
 
 
+class Recent:
+    """Results by key, the recent ones: two halves, the older dropped when the newer is full."""
+
+    def __init__(self, size: int):
+        self.new: dict = {}
+        self.old: dict = {}
+        self.size = size
+
+    def get(self, key):
+        """The result, or None; for what the newer half lacks."""
+        found = self.old.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old = dict(self.new)
+            self.new.clear()
+        self.new[key] = value
+
+
+class SuffixAutomaton:
+    """Trie of byte strings with suffix links; ``ends[node]``: (value, size) of all that end there, longest first."""
+
+    def __init__(self, entries: list[tuple[bytes, int]]):
+        self.steps: dict[int, int] = {}  # node << 8 | byte -> node; links followed once are added
+        self.ends: list[tuple] = [()]
+        for data, value in entries:
+            node = 0
+            for byte in data:
+                key = node << 8 | byte
+                node = self.steps.get(key, 0)
+                if not node:
+                    node = self.steps[key] = len(self.ends)
+                    self.ends.append(())
+            self.ends[node] = ((value, len(data)),)
+        self.links = [0] * len(self.ends)
+        below: dict[int, list[tuple[int, int]]] = {}
+        for key, child in self.steps.items():
+            below.setdefault(key >> 8, []).append((key & 255, child))
+        level = [0]
+        while level:
+            following = []
+            for node in level:
+                for byte, child in below.get(node, ()):
+                    if node:
+                        self.links[child] = link = self.step(self.links[node], byte, keep=False)
+                        self.ends[child] += self.ends[link]
+                    following.append(child)
+            level = following
+
+    def step(self, node: int, byte: int, keep: bool = True) -> int:
+        at = node
+        while (found := self.steps.get(at << 8 | byte)) is None and at:
+            at = self.links[at]
+        found = found or 0
+        if keep and at != node:
+            self.steps[node << 8 | byte] = found
+        return found
+
+
 class PrefixEncoder:
     """The per-prefix encoder of one vocabulary, with its stores."""
 
@@ -75,25 +138,30 @@ class PrefixEncoder:
         self.special = vocabulary["special"]
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.find = regex.compile(PATTERN).findall
-        self.automaton = ahocorasick.Automaton()
         special = set(self.special.values())
-        for n, token in enumerate(self.tokens):
-            if token and n not in special and self._merge(token) == [n]:
-                self.automaton.add_word(token.decode("latin-1"), (n, len(token)))
-        self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.automaton = SuffixAutomaton([(t, n) for n, t in enumerate(self.tokens) if t and n not in special and self._merge(t) == [n]])
+        self.prefixes: dict[int, int] = {}  # prefix << 8 | byte -> longer prefix, for prefixes met before
+        self.at_prefix: list[tuple[int, int]] = [(0, -1)]  # automaton node and last token of each
+        self.inner_space = regex.compile(r"\s").search
+        self.parts = {}  # token -> rank and ids of the merge that makes it
+        for key, (rank, new) in self.merges.items():
+            self.parts.setdefault(new, (rank, key >> 32, key & 0xFFFFFFFF))
+        self.edges: dict[int, list[tuple[int, int, int]]] = {}
+        self.fits: dict[int, bool] = {}
+        self.words = Recent(CACHE)
+        self.parts_of = Recent(CACHE)
 
     def _merge(self, data: bytes) -> list[int]:
-        """Encoding of a few bytes from the merge list; only tokens and token pairs come here."""
+        """Encoding of a vocabulary entry's bytes from the merge list, to leave out unreachable entries."""
         ids = [self.single[b] for b in data]
         while len(ids) > 1:
-            rank, new, pair = min(((*self.merges[p], p) for p in pairwise(ids) if p in self.merges), default=(0, -1, None))
-            if pair is None:
+            keys = [a << 32 | b for a, b in pairwise(ids)]
+            _, new, key = min(((*self.merges[k], k) for k in keys if k in self.merges), default=(0, -1, -1))
+            if key < 0:
                 break
             out, at = [], 0
             while at < len(ids):
-                if at + 1 < len(ids) and (ids[at], ids[at + 1]) == pair:
+                if at < len(keys) and keys[at] == key:
                     out.append(new)
                     at += 2
                 else:
@@ -102,49 +170,125 @@ class PrefixEncoder:
             ids = out
         return ids
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
+        """What stands at the left (0) or right (1) end of a token as it is merged together.
+
+        (part, rank of the merge that made it, rank of the merge that takes it up), outermost first.
+        """
+        out, until = [], 1 << 62
+        while True:
+            made = self.parts.get(token)
+            out.append((token, made[0] if made else -1, until))
+            if made is None:
+                return out
+            until, token = made[0], made[1 + side]
+
     def compatible(self, left: int, right: int) -> bool:
-        pair = (left, right)
-        fit = self.fits.get(pair)
+        """Whether no merge across the border of two tokens comes before those inside them.
+
+        A merge of two end parts happens if both exist at its rank. Equal merges
+        go from left to right, so at equal rank the left token's own comes first.
+        """
+        key = left << 32 | right
+        fit = self.fits.get(key)
         if fit is None:
-            if len(self.fits) >= 4 * CACHE:
+            a, b = self.edges.get(left), self.edges.get(~right)
+            if a is None:
+                a = self.edges[left] = self._edge(left, 1)
+            if b is None:
+                b = self.edges[~right] = self._edge(right, 0)
+            fit = True
+            for x, x_made, x_until in a:
+                for y, y_made, y_until in b:
+                    merge = self.merges.get(x << 32 | y)
+                    if merge is not None and x_made < merge[0] < x_until and y_made < merge[0] <= y_until:
+                        fit = False
+            if len(self.fits) >= 2 * CACHE:
                 self.fits.clear()
-            fit = self.fits[pair] = self._merge(self.tokens[left] + self.tokens[right]) == [left, right]
+            self.fits[key] = fit
         return fit
 
     def pretoken(self, data: bytes) -> list[int]:
-        """Ids of one pre-token: last token of every prefix, then the way back."""
-        last = [-1] * (len(data) + 1)
-        for end, (token, size) in self.automaton.iter(data.decode("latin-1")):
-            end += 1
-            if last[end] < 0 and (end == size or (last[end - size] >= 0 and self.compatible(last[end - size], token))):
-                last[end] = token
+        """Ids of one pre-token: last token of every prefix, then the way back.
+
+        Results for prefixes that other pre-tokens shared are looked up.
+        """
+        last = [-1]
+        prefix = node = 0
+        steps, ends, prefixes, at_prefix = self.automaton.steps, self.automaton.ends, self.prefixes, self.at_prefix
+        for byte in data:
+            key = prefix << 8 | byte
+            known = prefixes.get(key, -1) if prefix >= 0 else -1
+            if known > 0:
+                prefix = known
+                node, token = at_prefix[known]
+                last.append(token)
+                continue
+            step = node << 8 | byte
+            node = steps[step] if step in steps else self.automaton.step(node, byte)
+            end = len(last)
+            for token, size in ends[node]:
+                if end == size:
+                    break
+                before = last[end - size]
+                if before >= 0 and self.compatible(before, token):
+                    break
+            else:
+                token = -1
+            last.append(token)
+            if prefix >= 0 and len(at_prefix) < PREFIXES:
+                prefixes[key] = prefix = len(at_prefix)
+                at_prefix.append((node, token))
+            else:
+                prefix = -1
         ids, at = [], len(data)
         while at:
             ids.append(last[at])
             at -= len(self.tokens[last[at]])
         return ids[::-1]
 
-    def plain(self, text: str, out: list[int]) -> None:
-        known = self.known
+    def pretokens(self, text: str) -> bytes:
+        """Ids of a text without special tokens, as bytes of 32-bit integers."""
+        out: list[int] = []
+        fresh = self.parts_of.new
         for word in self.find(text):
-            ids = known.get(word)
+            ids = fresh.get(word) or self.parts_of.get(word)
             if ids is None:
-                data = word.encode()
-                ids = self.pretoken(data)
-                if len(data) <= CACHE_BYTES:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[word] = ids
+                ids = self.pretoken(word.encode())
+                if len(word) <= CACHE_CHARS:
+                    self.parts_of.put(word, ids)
             out += ids
+        return np.array(out, np.int32).tobytes()
+
+    def plain(self, text: str) -> bytes:
+        """The same, cut where one space stands between two other characters.
+
+        No pre-token reaches over such a cut and the space belongs to what
+        follows, so the words between cuts can be looked up.
+        """
+        words = text.split(" ")
+        if any(not w or w[0].isspace() or w[-1].isspace() for w in (words[0], words[-1])) or "  " in text:
+            return self.pretokens(text)
+        out = [self.pretokens(words[0])]
+        known = self.words.new
+        for word in words[1:]:
+            ids = known.get(word) or self.words.get(word)
+            if ids is None:
+                if word[0].isspace() or word[-1].isspace():
+                    return self.pretokens(text)
+                ids = self.pretokens(" " + word)
+                if len(word) <= CACHE_CHARS and not self.inner_space(word):
+                    self.words.put(word, ids)
+            out.append(ids)
+        return b"".join(out)
+
+    def encode_bytes(self, text: str) -> bytes:
+        if not self.split:
+            return self.plain(text) if text else b""
+        return b"".join(np.int32(self.special[part]).tobytes() if part in self.special else self.plain(part) for part in self.split.split(text) if part)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self.split.split(text) if self.split else [text]:
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                self.plain(part, out)
-        return out
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
 
 
 _ENCODERS: dict[str, PrefixEncoder] = {}
@@ -165,12 +309,18 @@ def encode(docs: DataFrame, path: str, text: str = "text", column: str = "ids")
     corpus) are broadcast. A map over the rows, no shuffle.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
+    kept = [f for f in docs.schema.fields if f.name != column]
+    schema = T.StructType([*kept, T.StructField(column, T.ArrayType(T.IntegerType()))])
 
-    def rows(texts: Iterator[bytes | None]) -> Iterator[tuple]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, vocabulary)
-        return ((encoder.encode((t or b"").decode("utf-8", "replace")),) for t in texts)
+        for batch in batches:
+            ids = [encoder.encode_bytes((t.as_py() or b"").decode("utf-8", "replace")) for t in batch.column(batch.num_columns - 1)]
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[f.name for f in schema.fields])
 
-    return map_texts(docs, text, [T.StructField(column, T.ArrayType(T.IntegerType()))], rows)
+    return docs.select(*[f"`{f.name}`" for f in kept], F.col(f"`{text}`").cast("binary").alias("__text_bytes__")).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
@@ -186,7 +336,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", column: str = "decoded"
             texts = []
             for row in batch.column(at):
                 own = row.values
-                texts.append(None if own is None else b"".join([table[n] for n in own.to_pylist()]).decode("utf-8", "replace"))
+                texts.append(None if own is None else b"".join(map(table.__getitem__, own.to_numpy(zero_copy_only=False).tolist())).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[f.name for f in schema.fields])
 
     return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
