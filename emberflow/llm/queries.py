@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, repetition, sharding, simhash, urlfilter, warc
+from . import ann, bpe, mixing, pii, repetition, sharding, simhash, urlfilter, warc
 
 SHARDS = 24
 
@@ -72,5 +72,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_sharding, op2_bpe_round_trip, op3_warc_round_trip, op5_personal_data, op6_repetition_quality, op7_simhash_components, op8_url_filter, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_histogram_sharding, op2_bpe_round_trip, op3_warc_round_trip, op5_personal_data, op6_repetition_quality, op7_simhash_components, op8_url_filter, op9_source_mixing, op10_nearest_neighbours)}
