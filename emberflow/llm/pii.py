@@ -216,7 +216,7 @@ def labelled_texts(params: PiiParams) -> list[tuple[int, str, int]]:
     for k in range(params.sample):
         kind = ("email", "card", "phone", "secret")[k % 4]
         label = (k // 4) % 2
-        hint = rng.choice(hints[kind]) if label or rng.random() < 0.1 else rng.choice(words)
+        hint = rng.choice(hints[kind]) if label or rng.random() < 0.01 else rng.choice(words)
         quote = '"' if kind == "secret" and label and rng.random() < 0.7 else ""
         if kind == "email":
             item = f"{name(5)}.{name(4)} (at) {name(6)} (dot) com" if label else f"{name(4)} (at) {name(3)}.{digits(2)}"
@@ -262,9 +262,10 @@ def fit_booster(spark: SparkSession, params: PiiParams = PiiParams()) -> Booster
     for kind in KINDS:
         own = sorted(((r.p, r.label) for r in held if r.kind == kind), reverse=True)
         true = total = 0
-        for p, label in own:
+        for n, (p, label) in enumerate(own):
             true, total = true + label, total + 1
-            if true >= params.precision * total:
+            last = n + 1 == len(own) or own[n + 1][0] < p  # of those with this probability
+            if last and true >= params.precision * total:
                 thresholds[kind] = p
     rows.unpersist()
     _FITTED[params] = Booster(trees, booster.weights, thresholds)
