@@ -1,0 +1,476 @@
+"""The ten operators against brute force, on small tables with the awkward cases."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from emberflow.llm import ann, bpe, mixing, pii, repetition, sharding, simhash, urlfilter, warc
+from emberflow.llm.queries import tokenizer_file
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def texts(n=120, seed=5):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdeéüñ") for _ in range(rng.randint(1, 8))) for _ in range(300)]
+    made = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 90))) for _ in range(n)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(20_000))
+    made += [None, "", " ", "\n\n", "x", "a\tb\x0bc\x0cd\re", long, long + " more", made[0], made[0], made[1], "A\nB\nA\n\nB", "\u3000 \u0085x y", "1 2 3 1 2 3 " * 30]
+    return made
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", None if i % 7 == 0 else f"s{i % 4}" if i % 3 else "hot", None) for i, t in enumerate(texts())]
+    rows += [rows[0], rows[0], (None, "no id here", None, None, None), (3, "same id other text", "en", "s1", 1)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+def empty(df):
+    return df.where("false")
+
+
+def clash(df):
+    return df.withColumns({c: F.lit("old") for c in ("size", "shard", "slot", "fingerprint", "kept", "ids", "decoded", "spans", "host", "rule", "component_id")})
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+# 1 ------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("shards", [1, 3, 24])
+def test_sharding(docs, shards):
+    out = rows(sharding.shard_documents(docs, shards, keep_text=True))
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter((r["doc_id"], r["text"]) for r in rows(docs))
+    assert all(r["size"] == len((r["text"] or "").encode()) + 8 and r["text_crc32"] == zlib.crc32((r["text"] or "").encode()) for r in out)
+    by = {}
+    for r in out:
+        by.setdefault(r["shard"], []).append(r)
+    assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in by.values())
+    total, largest = sum(r["size"] for r in out), max(r["size"] for r in out)
+    assert all(sum(r["size"] for r in x) <= total / shards * 1.01 + largest for x in by.values())
+
+
+def test_sharding_hot_group(spark):
+    same = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("copy")).otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
+    out = rows(sharding.shard_documents(same, 8, keep_text=False))
+    sizes = Counter()
+    for r in out:
+        sizes[r["shard"]] += r["size"]
+    assert len(out) == 3000 and max(sizes.values()) - min(sizes.values()) < 0.05 * sum(sizes.values()) / 8
+    one = same.select(F.lit(1).alias("doc_id"), F.lit("copy").alias("text"))
+    assert sorted(r["slot"] for r in rows(sharding.shard_documents(one, 4))) == list(range(3000))
+
+
+def test_sharding_empty_and_clashing(docs):
+    assert rows(sharding.shard_documents(empty(docs), 4)) == []
+    assert {r["shard"] for r in rows(sharding.shard_documents(clash(docs), 2))} == {0, 1}
+
+
+# 2 ------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(docs):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file()
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    extra = ["<|endoftext|>", "a<|endoftext|><|endoftext|> b", "it's  we'll\n\n x", "日本語 😀😀 é", " " * 50 + "a", "a " * 40 + " ", "word, word. x;y 12,3", "aaaaaaaaaaaaaaaaaaaa" * 40]
+    more = docs.sparkSession.createDataFrame([(1000 + i, t, None, None, None) for i, t in enumerate(extra)], SCHEMA)
+    table = docs.unionByName(more)
+    out = rows(bpe.decode(bpe.encode(clash(table), path), path))
+    assert len(out) == table.count()
+    for r in out:
+        want = library.encode(r["text"] or "", add_special_tokens=False).ids
+        assert r["ids"] == want
+        assert r["decoded"] == library.decode(want, skip_special_tokens=False) == (r["text"] or "")
+    assert rows(bpe.encode(empty(docs), path)) == []
+
+
+def test_bpe_random_strings():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file()
+    library, own, rng = Tokenizer.from_file(path), bpe.PrefixEncoder(bpe.load_vocabulary(path)), random.Random(1)
+    letters = "abcdefgh  \n\t'stllve0123.,!?éüßÇñ日本　😀"
+    for _ in range(2000):
+        s = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+        assert own.encode(s) == library.encode(s, add_special_tokens=False).ids
+
+
+# 3 ------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rng = random.Random(2)
+    body = ["x" * 2000, "é" * 700, "short", "", None, "".join(rng.choice("ab<>") for _ in range(50_000))]
+    pages = [(i, None if i % 11 == 0 else f"http://h/{i} é\r\n", body[i % 6]) for i in range(200)]
+    pages += [(None, "u", "x" * 2000), (194, "again", "x" * 2000), (186, "again", "x" * 2000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("refers_to", F.lit(9))
+    options = dict(shard_bytes=300_000, roll_bytes=2_000)
+    out = rows(warc.archive_and_read(df, str(tmp_path / "a"), **options))
+    heads = {}
+    for i, _, t in pages:
+        if t and len(t.encode()) >= 1000 and i is not None:
+            heads[t] = max(heads.get(t, -1), i)
+    want = Counter()
+    for i, u, t in pages:
+        head = heads.get(t)
+        again = head is not None and head != i
+        data = (t or "").encode()
+        want[i, u, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", head if again else None] += 1
+    assert Counter((r["id"], r["url"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in out) == want
+    assert all(r["payload"] is None if r["record_type"] == "revisit" else hashlib.sha1(r["payload"]).hexdigest() == r["payload_digest"] for r in out)
+    again = rows(warc.write_warc(df.repartition(7), str(tmp_path / "b"), **options))
+    first = spark.read.parquet(str(tmp_path / "a" / "manifest")).collect()
+    assert len(again) > 3 and sorted(map(str, again)) == sorted(str(r.asDict()) for r in first)
+    assert sorted(p.name for p in (tmp_path / "b").glob("*.gz")) == sorted(r["file"] for r in again)
+    assert rows(warc.archive_and_read(empty(df), str(tmp_path / "c"))) == []
+
+
+# 5 ------------------------------------------------------------------------------------
+
+
+def luhn(d):
+    s = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (1 + i % 2)
+        s += x - 9 * (x > 9)
+    return s % 10 == 0
+
+
+def base_spans(t):
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m[0])) <= 15]
+
+
+PERSONAL = [
+    "é mail a.b@c.de, x@y z@w..q a@b.c_x@d.e 1.2.3.4 1.2.3.4.5.6.7.8 256.1.1.1 0001.002.3.4 999999999999.1.1.1",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112 4111  1111 1 2 3", "+1 (441) 555-3597 +12 +1-2-3-4-5-6-7-8-9-0-1-2-3-4-5-6-7 ++49 30 1234567.",
+    'the token = "9742a250774262d69ad6a8615d77ad9c0a1b2c3d" call 555-123-4567 😀 jo.doe (at) example (dot) com', "1" * 5000, "a" * 5000 + "@", "1.1.1.1 " * 700, "a@b" + ".c" * 3000, "+" * 3000, "1-" * 3000,
+]
+
+
+def test_pii_base_rules_and_redaction(docs):
+    spark = docs.sparkSession
+    rng = random.Random(4)
+    mixed = ["".join(rng.choice("0123456789+-. ()@ab") for _ in range(rng.randint(0, 120))) for _ in range(400)]
+    table = docs.unionByName(spark.createDataFrame([(2000 + i, t, None, None, None) for i, t in enumerate(PERSONAL + mixed)], SCHEMA))
+    out = rows(pii.find_personal_data(clash(table)))
+    assert len(out) == table.count()
+    for r in out:
+        t = r["text"] or ""
+        got = [(x.kind, x.start, x.end) for x in r["base_spans"]]
+        assert got == base_spans(t)
+        every = [(x.kind, x.start, x.end) for x in r["spans"]]
+        assert set(got) <= set(every) and every == sorted(every, key=lambda x: (pii.KINDS.index(x[0]), x[1]))
+    found = pii.find_personal_data(table)
+    for r in rows(pii.redact(found).join(found.select("doc_id", F.col("text").alias("was"), "spans"), "doc_id")):
+        if r["doc_id"] == 2003:
+            assert "9742a250" not in r["text"] and "<SECRET>" in r["text"] and "the token" in r["text"]
+        if not r["spans"] and r["doc_id"] >= 2000:
+            assert r["text"] == r["was"]
+        if r["doc_id"] == 2006:
+            assert r["text"] == "<IP> " * 700
+    assert rows(pii.find_personal_data(empty(docs))) == []
+
+
+def test_pii_booster_on_fresh_samples(spark):
+    params = pii.PiiParams()
+    booster = pii.fit_booster(spark, params)
+    fresh = pii.labelled_texts(pii.PiiParams(sample=800, seed=7))
+    table = pii.propose(spark.createDataFrame(fresh, "n long, text string, label int"), "text").select("label", F.explode("__more").alias("c"))
+    scored = table.select("label", (booster.probability(F.array(*pii.features(F.col("c")))) >= booster.threshold(F.col("c.kind"))).alias("yes"))
+    n = {(r["label"], r["yes"]): r["count"] for r in scored.groupBy("label", "yes").count().collect()}
+    assert n[1, True] / (n[1, True] + n.get((0, True), 0)) > 0.9
+    assert n[1, True] / (n[1, True] + n.get((1, False), 0)) > 0.7
+
+
+# 6 ------------------------------------------------------------------------------------
+
+
+def quality(text):
+    t = text or ""
+    w = words(t)
+    lines, dup = set(), 0
+    for line in t.split("\n"):
+        if words(line):
+            dup += line in lines
+            lines.add(line)
+    grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    inside = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), dup, len(inside), len(w) < 50 or 100 * len(inside) > 50 * len(w)
+
+
+def test_repetition(docs):
+    out = rows(repetition.repetition_quality(clash(docs)))
+    assert len(out) == docs.count()
+    for r in out:
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == quality(r["text"])
+        assert not (r["base_failed"] and r["kept"])
+        w = words(r["text"])
+        grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        inside = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        assert math.isclose(r["dup_5gram_chars"], sum(len(w[j]) for j in inside) / max(1, sum(map(len, w))))
+    assert rows(repetition.repetition_quality(empty(docs))) == []
+
+
+# 7 ------------------------------------------------------------------------------------
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def brute_print(text):
+    w = words(lower(text))
+    grams = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    ones = [0] * 64
+    for g in grams:
+        h = xxhash.xxh64_intdigest(g.encode(), seed=42)
+        for b in range(64):
+            ones[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(grams)) if grams else 0
+
+
+def brute_classes(prints, ids, radius):
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= radius:
+                root[find(i)] = find(j)
+    least = {}
+    for i, name in enumerate(ids):
+        if name is not None:
+            least[find(i)] = min(least.get(find(i), name), name)
+    return [least.get(find(i)) for i in range(len(prints))]
+
+
+def test_simhash_components(docs):
+    spark = docs.sparkSession
+    near = spark.createDataFrame([(5000 + i, " ".join(texts()[126].split()[: 400 + i // 2]), None, None, None) for i in range(60)], SCHEMA)
+    table = docs.unionByName(near)
+    source = rows(table)
+    prints = [brute_print(r["text"]) for r in source]
+    want = Counter(zip([r["doc_id"] for r in source], [f"{p:016x}" for p in prints], brute_classes(prints, [r["doc_id"] for r in source], 2), strict=True))
+    for params in (simhash.CONTRACT, simhash.SimHashParams(shingle=3, blocks=1, probes=((0, 64),), radius=2, limit=2, sample=300, shard=16, block=20)):
+        out = rows(simhash.near_duplicate_components(clash(table), params=params))
+        assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in out) == want
+    assert rows(simhash.near_duplicate_components(empty(docs))) == []
+
+
+def test_link_shard_equals_all_pairs():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    keys = np.unique(np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (60, 2)).astype(np.uint64), axis=1) for c in centres]))
+    near = np.bitwise_count(keys[:, None] ^ keys[None]) <= 2
+    label = np.arange(len(keys))
+    while True:
+        new = np.array([label[m].min() for m in near])
+        if (new == label).all():
+            break
+        label = new
+    for small in (8, 64, 5000):
+        assert (simhash.link_shard(keys, keys[:, None], 2, 2, small) == label).all()
+    nodes = simhash.build_tree(keys[::5], 2, 12)
+    homes = [set() for _ in keys]
+    for leaf, own in simhash.place(nodes, keys, 2):
+        for i in own:
+            homes[i].add(leaf)
+    assert all(homes[i] & homes[j] for i, j in zip(*np.nonzero(near), strict=True))
+
+
+def test_near_duplicates_of_five_words(spark):
+    rng = random.Random(8)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    base = [[rng.choice(vocabulary) for _ in range(300)] for _ in range(60)]
+    table = []
+    for i, w in enumerate(base):
+        table.append((i, " ".join(w)))
+        table.append((100 + i, " ".join(w[:150] + ["changed"] + w[151:])))  # similarity 0.97
+    out = rows(simhash.near_duplicate_components(spark.createDataFrame(table, "doc_id long, text string")))
+    caught = sum(r["component_id"] == r["doc_id"] - 100 for r in out if r["doc_id"] >= 100)
+    assert caught >= 58
+    assert all(r["component_id"] % 100 == r["doc_id"] % 100 for r in out)
+
+
+def test_connected_components_of_a_chain_and_a_star(spark):
+    chain = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)]
+    out = {r["node"]: r["root"] for r in simhash.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert out == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 160)}
+
+
+# 8 ------------------------------------------------------------------------------------
+
+URLS = ["http://com/", "HTTP://WWW.Example.COM/en/x?y", "http://example.com/en/", "http://a.example.com/en", "x://a.net/es/1#f", "x://net/fr/", "x://net/fr", "x://anet/fr/", "no scheme", None, "", "://", "http://h?x/y", "http://com:80/", "http://a..com/", "http://.net/es/", "http://u@m.net/es/?q", "http://É.com/é"]
+
+
+def judge(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = lower(host)
+    best = None
+    for r in urlfilter.RULES:
+        h, _, p = r.key.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(r.key) > len(best.key)):
+            best = r
+    return host, path, best and best.key, best.verdict if best else "allow"
+
+
+def test_url_rules(spark):
+    table = clash(spark.createDataFrame([(i, u) for i, u in enumerate(URLS * 3)], "page_id long, url string"))
+    out = rows(urlfilter.judge_urls(table))
+    assert len(out) == len(URLS) * 3
+    assert all((r["host"], r["path"], r["rule"], r["verdict"]) == judge(r["url"]) for r in out)
+    assert rows(urlfilter.judge_urls(empty(table))) == []
+    assert {r["verdict"] for r in rows(urlfilter.judge_urls(table, rules=()))} == {"allow"}
+
+
+def test_cascade_is_exact(spark):
+    listed = spark.range(0, 400).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
+    universe = spark.range(0, 9000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
+    cascade = urlfilter.build_cascade(listed, universe)
+    got = {r.key for r in universe.where(cascade.holds(F.col("key"))).collect()}
+    assert got == {f"k{i}" for i in range(400)} and len(cascade.levels) > 1
+
+
+# 9 ------------------------------------------------------------------------------------
+
+
+def test_mixing(docs):
+    out = rows(mixing.mix_sources(clash(docs).drop("size")))
+    source = rows(docs)
+    assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((r["doc_id"], len(words(r["text"]))) for r in source)
+    sizes = Counter()
+    for r in source:
+        sizes[r["source"]] += len(words(r["text"]))
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    targets = mixing.fit_targets([sizes[n] for n in names], [(1, 2, 3)[i % 3] for i in range(len(names))], sum(sizes.values()))
+    assert math.isclose(sum(targets), sum(sizes.values()))
+    taken = Counter()
+    for r in out:
+        assert r["taken"] == r["copies"] * r["size"] and r["taken"] <= 3 * r["size"]
+        taken[r["target"]] += r["taken"]
+    for t in targets:
+        assert abs(taken[t] - t) <= 2
+    assert sorted(map(str, rows(mixing.mix_sources(docs.repartition(3))))) == sorted(map(str, rows(mixing.mix_sources(docs))))
+    assert rows(mixing.mix_sources(empty(docs))) == []
+
+
+def test_fit_targets_caps_and_reshares():
+    assert mixing.fit_targets([10, 1000, 90], [1, 1, 1], 1100) == [30.0, 800.0, 270.0]
+    assert mixing.fit_targets([0, 5], [1, 1], 5) == [0.0, 5.0]
+
+
+def test_fit_counts_reaches_every_reachable_budget():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        lengths = np.unique(rng.integers(1, 40, 5))
+        counts = rng.integers(1, 4, len(lengths))
+        sums = {0}
+        for n, c in zip(lengths, counts, strict=True):
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        budget = int(rng.integers(0, (lengths * counts).sum() + 5))
+        got = mixing.fit_counts(lengths, counts, budget)
+        assert (got <= counts).all() and (got >= 0).all()
+        assert (got * lengths).sum() <= budget
+        assert budget - (got * lengths).sum() <= budget - max(s for s in sums if s <= budget) + lengths.max()
+
+
+# 10 -----------------------------------------------------------------------------------
+
+
+def brute_nearest(ids, x, q, k=10):
+    out = {}
+    for i in q:
+        y = x[ids == i][0]
+        d = np.sqrt(((x - y) ** 2).sum(axis=1))
+        d[ids == i] = np.inf
+        out[i] = [(int(ids[j]), d[j]) for j in np.lexsort((ids, d))[:k] if np.isfinite(d[j])]
+    return out
+
+
+def test_nearest_neighbours(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16)).astype(np.float32).astype(float)
+    x[500:1500] = x[500]  # a third of the rows is one vector
+    odd = [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] + [1.0] * 15), (9004, [float("inf")] + [1.0] * 15), (9005, [1.0] * 3), (9000, [None] + [1.0] * 15), (None, [9.0] * 16)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "vec_id long, embedding array<float>")
+    params = ann.AnnParams(rows=400, sample=2000, block=256)
+    out = ann.search(df, df.where("vec_id % 50 = 0"), params=params).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = brute_nearest(np.arange(3000), x, range(0, 3000, 50))
+    assert set(got) == set(want)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    assert all(got[q] == sorted(got[q], key=lambda p: (p[1], p[0])) and len(got[q]) == 10 for q in got)
+    assert [i for i, _ in got[500]] == list(range(501, 511))
+    few = df.where("vec_id in (0, 1, 2, 50)")
+    out = ann.search(few, few.where("vec_id % 50 = 0")).collect()
+    assert Counter(r.query_id for r in out) == {0: 3, 50: 3}
+    assert ann.search(empty(df), empty(df)).collect() == []
+
+
+# the pipeline ----------------------------------------------------------------------------
+
+
+def test_pipeline_stages(docs):
+    import corpus_pipeline as pipeline
+
+    spark = docs.sparkSession
+    rng = random.Random(11)
+    many = [[f"v{rng.randint(0, 4000)}" for _ in range(200)] for _ in range(40)]
+    table = [(i, " ".join(w) + (f" mail me{i}@example.com" if i % 5 == 0 else ""), "en", f"s{i % 3}", 5) for i, w in enumerate(many)]
+    table += [(100 + i, t, "en", s, n) for i, t, _, s, n in table[:20]] + [table[3], table[3], (None, " ".join(many[30]) + " end", None, None, None), (None, "unique words " + " ".join(f"u{i}" for i in range(80)), "de", None, 1)]
+    start = spark.createDataFrame(table, SCHEMA).unionByName(docs)
+    good = pipeline.quality(spark, start, "")
+    assert Counter((r["doc_id"], r["text"]) for r in rows(good)) == Counter((r["doc_id"], r["text"]) for r in rows(start) if repetition.measure((r["text"] or "").encode(), repetition.RepetitionRules())[-1])
+    one = pipeline.near_duplicates(spark, good, "")
+    ids = Counter(r["doc_id"] for r in rows(one))
+    assert all(ids[i] == 1 for i in range(4, 40)) and not any(ids[i] for i in range(100, 120) if ids[i] and ids[i - 100] == 0) and ids[None] == 1
+    clean = pipeline.personal_data(spark, one, "")
+    assert clean.columns == list(pipeline.COLUMNS)
+    texts_ = [r["text"] for r in rows(clean)]
+    assert not any("@example" in t for t in texts_) and any("<EMAIL>" in t for t in texts_)
+    assert all(r["n_chars"] == len(r["text"]) for r in rows(clean))
+    mixed = pipeline.source_mix(spark, clean, "")
+    copies = Counter((r["doc_id"], r["text"]) for r in rows(mixed))
+    assert set(copies) <= {(r["doc_id"], r["text"]) for r in rows(clean)} and max(copies.values()) <= 3
+    total = sum(len(words(r["text"])) for r in rows(clean))
+    assert abs(sum(len(words(t)) * n for (_, t), n in copies.items()) - total) <= 8
+    doubled = pipeline.source_mix(spark, clean.union(clean), "")
+    assert abs(sum(len(words(r["text"])) for r in rows(doubled)) - 2 * total) <= 8
+    coded = pipeline.tokens(spark, mixed, "")
+    assert coded.count() == mixed.count()
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, empty(start), "").count() == 0, name
