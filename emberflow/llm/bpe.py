@@ -20,6 +20,7 @@ columns named like the result are replaced; an empty table stays empty.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -33,9 +34,11 @@ from pyspark.sql import types as T
 #: Fixed value: the published pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of each half of a store of results in a worker; a full half replaces the other.
-CACHE = 150_000
+CACHE = 90_000
 #: Prefixes whose last token is kept.
-PREFIXES = 300_000
+PREFIXES = 150_000
+#: Texts of one Arrow batch of results.
+SLICE = 256
 #: Longer words are not kept.
 CACHE_CHARS = 48
 
@@ -123,7 +126,7 @@ class SuffixAutomaton:
         while (found := self.steps.get(at << 8 | byte)) is None and at:
             at = self.links[at]
         found = found or 0
-        if keep and at != node:
+        if keep and at != node and len(self.steps) < 4 * len(self.ends):
             self.steps[node << 8 | byte] = found
         return found
 
@@ -148,8 +151,9 @@ class PrefixEncoder:
             self.parts.setdefault(new, (rank, key >> 32, key & 0xFFFFFFFF))
         self.edges: dict[int, list[tuple[int, int, int]]] = {}
         self.fits: dict[int, bool] = {}
-        self.words = Recent(CACHE)
-        self.parts_of = Recent(CACHE)
+        self.words = Recent(CACHE)  # a space and letters, by the letters
+        self.others = Recent(CACHE // 4)
+        self.tails = {c: self.bytes_of([self.single[ord(c)]]) for c in ",.!?;:"}  # each a pre-token after letters and before a space
 
     def _merge(self, data: bytes) -> list[int]:
         """Encoding of a vocabulary entry's bytes from the merge list, to leave out unreachable entries."""
@@ -203,7 +207,7 @@ class PrefixEncoder:
                     merge = self.merges.get(x << 32 | y)
                     if merge is not None and x_made < merge[0] < x_until and y_made < merge[0] <= y_until:
                         fit = False
-            if len(self.fits) >= 2 * CACHE:
+            if len(self.fits) >= 3 * CACHE:
                 self.fits.clear()
             self.fits[key] = fit
         return fit
@@ -247,38 +251,55 @@ class PrefixEncoder:
             at -= len(self.tokens[last[at]])
         return ids[::-1]
 
+    @staticmethod
+    def bytes_of(ids: list[int]) -> bytes:
+        return array("i", ids).tobytes()
+
+    def word(self, letters: str) -> bytes:
+        """Ids of a space and letters, one pre-token."""
+        ids = self.words.new.get(letters) or self.words.get(letters)
+        if ids is None:
+            ids = self.bytes_of(self.pretoken(b" " + letters.encode()))
+            if len(letters) <= CACHE_CHARS:
+                self.words.put(letters, ids)
+        return ids
+
     def pretokens(self, text: str) -> bytes:
         """Ids of a text without special tokens, as bytes of 32-bit integers."""
-        out: list[int] = []
-        fresh = self.parts_of.new
-        for word in self.find(text):
-            ids = fresh.get(word) or self.parts_of.get(word)
+        out = []
+        for part in self.find(text):
+            if part[0] == " " and part[1:].isalpha():
+                out.append(self.word(part[1:]))
+                continue
+            ids = self.others.new.get(part) or self.others.get(part)
             if ids is None:
-                ids = self.pretoken(word.encode())
-                if len(word) <= CACHE_CHARS:
-                    self.parts_of.put(word, ids)
-            out += ids
-        return np.array(out, np.int32).tobytes()
+                ids = self.bytes_of(self.pretoken(part.encode()))
+                if len(part) <= CACHE_CHARS:
+                    self.others.put(part, ids)
+            out.append(ids)
+        return b"".join(out)
 
     def plain(self, text: str) -> bytes:
         """The same, cut where one space stands between two other characters.
 
         No pre-token reaches over such a cut and the space belongs to what
-        follows, so the words between cuts can be looked up.
+        follows, so words between cuts that are letters, or letters and one
+        mark, need no pattern.
         """
         words = text.split(" ")
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in (words[0], words[-1])) or "  " in text:
+        if any(not w or w[0].isspace() or w[-1].isspace() for w in words):
             return self.pretokens(text)
         out = [self.pretokens(words[0])]
-        known = self.words.new
+        fresh, tails = self.words.new, self.tails
         for word in words[1:]:
-            ids = known.get(word) or self.words.get(word)
+            ids = fresh.get(word)
             if ids is None:
-                if word[0].isspace() or word[-1].isspace():
-                    return self.pretokens(text)
-                ids = self.pretokens(" " + word)
-                if len(word) <= CACHE_CHARS and not self.inner_space(word):
-                    self.words.put(word, ids)
+                if word.isalpha():
+                    ids = self.word(word)
+                elif word[-1] in tails and (head := word[:-1]).isalpha():
+                    ids = (fresh.get(head) or self.word(head)) + tails[word[-1]]
+                else:
+                    ids = self.pretokens(" " + word)
             out.append(ids)
         return b"".join(out)
 
@@ -302,6 +323,13 @@ def _encoder(key: str, vocabulary) -> PrefixEncoder:
     return _ENCODERS[key]
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few results are held at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", column: str = "ids") -> DataFrame:
     """``docs`` with the array of token ids of ``text``.
 
@@ -314,7 +342,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", column: str = "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [encoder.encode_bytes((t.as_py() or b"").decode("utf-8", "replace")) for t in batch.column(batch.num_columns - 1)]
             ends = np.cumsum([0, *map(len, ids)]) // 4
             made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
@@ -332,7 +360,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", column: str = "decoded"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tokens.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = []
             for row in batch.column(at):
                 own = row.values
