@@ -1 +1 @@
-"""emberflow functions."""
+"""Column functions: unsigned keys, vectors, optimizer steps."""

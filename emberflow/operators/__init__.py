@@ -1 +1 @@
-"""emberflow operators."""
+"""DataFrame operators of the embedding dataflow."""

@@ -1 +1 @@
-"""emberflow plans."""
+"""Whole flows: the engine session, forward, backward, inference."""

@@ -1 +1 @@
-"""emberflow sources."""
+"""Batch assembly, files, checkpoints."""

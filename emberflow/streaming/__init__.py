@@ -1 +1 @@
-"""emberflow streaming."""
+"""Structured Streaming: training loop, joins of batch halves, reordering, incremental updates."""
