@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import bounded_sample, materialize
 
 
 @dataclass(frozen=True)
@@ -213,7 +213,7 @@ def search(rows: DataFrame, queries: DataFrame, id: str = "vec_id", vector: str
     same = F.size("vec") == widths[0]["n"]
     total = widths[0]["count"]
     points, asked = points.where(same), asked.where(same)
-    sample = points.orderBy(F.xxhash64("vec_id", "vec")).limit(params.sample).select("vec").toPandas()
+    sample = bounded_sample(points, total, params.sample, "vec_id", "vec").select("vec").toPandas()
     router = fit_router(np.stack(sample["vec"].to_list()), total, params)
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialize
+from .common import bounded_sample, map_texts, materialize
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,7 @@ class SimHashParams:
     #: most differing bits inside a probe
     radius: int = 2
     #: most differing bits of the whole fingerprint for a link
-    limit: int = 80
+    limit: int = 84
     #: fingerprints sampled for the tree, and wanted in a shard
     sample: int = 20_000
     shard: int = 8_192
@@ -271,7 +271,7 @@ def fingerprint_components(prints: DataFrame, params: SimHashParams) -> DataFram
     total = prints.count()
     if total == 0:
         return spark.createDataFrame([], "node binary, root binary")
-    sample = _words([bytes(r.fp) for r in prints.orderBy(F.xxhash64("fp")).limit(params.sample).collect()])
+    sample = _words([bytes(r.fp) for r in bounded_sample(prints, total, params.sample, "fp").collect()])
     leaves = max(1, min(-(-total // params.shard), max(1, len(sample) // 16)))
     trees = [build_tree(_probe(sample, first, width), params.radius, leaves) for first, width in params.probes]
     probes, radius, limit = params.probes, params.radius, params.limit
