@@ -28,8 +28,7 @@ def key_in_range(x: Column, prefix: Column, bits: int) -> Column:
     wide = 64 - bits
     space = (1 << wide) - 1
     fold = x.bitwiseAND(F.lit(space)) + F.shiftrightunsigned(x, wide)
-    rest = F.when(fold >= space, fold - space).otherwise(fold)
-    return F.when(prefix != 0, rest.bitwiseOR(prefix)).otherwise(x)
+    return F.when(prefix != 0, (fold % space).bitwiseOR(prefix)).otherwise(x)
 
 
 def group_of(x: Column, bits: int) -> Column:
