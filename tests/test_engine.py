@@ -361,6 +361,26 @@ def test_training_stream_is_repeatable(spark, tmp_path):
     assert spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "p0")).count() > 20
 
 
+def test_listener_reports_observed_metrics(spark, tmp_path):
+    from emberflow.streaming.listener import MetricsListener
+
+    seen = []
+    listener = MetricsListener(lambda name, value, labels: seen.append((name, value)))
+    spark.streams.addListener(listener)
+    try:
+        col(spark, [1, 1, 30]).withColumnRenamed("x", "sign").coalesce(1).write.parquet(str(tmp_path / "in"))
+        t, *_ = small(spark)
+        found = lookup.lookup(flows.file_source(spark, str(tmp_path / "in"), "sign long"), t, 4)
+        q = metrics.observed_lookup(found, "lookup").writeStream.format("noop").option("checkpointLocation", str(tmp_path / "l")).trigger(availableNow=True).start()
+        assert flows.wait(q, 120)
+        until = time.time() + 20
+        while ("misses", 1.0) not in seen and time.time() < until:
+            time.sleep(0.2)
+        assert {("requests", 3.0), ("misses", 1.0), ("input_rows", 3.0)} <= set(seen)
+    finally:
+        spark.streams.removeListener(listener)
+
+
 def test_reorder_and_join_halves(spark, tmp_path):
     ids = [5, 1, 0, 3, 2, 4, 7, 6]
     for n, part in enumerate((ids[:4], ids[4:])):
