@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, pii, repetition, sharding, simhash, urlfilter, warc
+from . import ann, bpe, mixing, passages, pii, repetition, sharding, simhash, urlfilter, warc
 
 SHARDS = 24
 
@@ -43,6 +43,11 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.repeated_passages(docs).select("doc_id", "start", "end", "n_words", "n_units", F.col("kept_id").alias("kept_doc_id"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_personal_data(docs)
@@ -78,4 +83,4 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_sharding, op2_bpe_round_trip, op3_warc_round_trip, op5_personal_data, op6_repetition_quality, op7_simhash_components, op8_url_filter, op9_source_mixing, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_histogram_sharding, op2_bpe_round_trip, op3_warc_round_trip, op4_repeated_passages, op5_personal_data, op6_repetition_quality, op7_simhash_components, op8_url_filter, op9_source_mixing, op10_nearest_neighbours)}

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from emberflow.llm import ann, bpe, mixing, pii, repetition, sharding, simhash, urlfilter, warc
+from emberflow.llm import ann, bpe, mixing, passages, pii, repetition, sharding, simhash, urlfilter, warc
 from emberflow.llm.queries import tokenizer_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -146,6 +146,58 @@ def test_warc_round_trip(spark, tmp_path):
     assert rows(warc.archive_and_read(empty(df), str(tmp_path / "c"))) == []
 
 
+# 4 ------------------------------------------------------------------------------------
+
+
+def brute_passages(source, least):
+    """(id, text) -> [(start, end, words)] by comparing every unit with all earlier texts."""
+    order = sorted({(r["doc_id"] if r["doc_id"] is not None else 2**63 - 1, r["text"] or "") for r in source})
+    owner, out = {}, {}
+    for i, t in order:
+        for a, b, w in passages.cut(t):
+            owner.setdefault(" ".join(w), i)
+    for i, t in order:
+        seen, run, found = set(), None, []
+        for a, b, w in passages.cut(t):
+            key = " ".join(w)
+            if key in seen or owner[key] != i:
+                run = (run[0], b, run[2] + len(w)) if run else (a, b, len(w))
+            else:
+                found.append(run)
+                run = None
+            seen.add(key)
+        out[i, t] = [x for x in [*found, run] if x and x[2] >= least]
+    return out
+
+
+def test_repeated_passages(docs):
+    spark = docs.sparkSession
+    rng = random.Random(12)
+    said = lambda n: " ".join(f"Q{rng.randint(0, 9999)} " + " ".join(f"z{rng.randint(0, 9999)}" for _ in range(5)) + rng.choice(".,!") for _ in range(n))
+    shared = said(10)
+    table = [(3000 + i, f"{said(4)} mid {shared} and {said(3)}", None, None, None) for i in range(30)] + [(4000 + i, said(12), None, None, None) for i in range(20)]
+    table += [(4100, f"{shared}\n{shared.upper()}", None, None, None), (4101, "Ünï " * 3 + "\n\n" + shared, None, None, None), (None, shared, None, None, None)]
+    table = docs.unionByName(spark.createDataFrame(table, SCHEMA))
+    source = rows(table)
+    want = brute_passages(source, 25)
+    found = passages.repeated_passages(clash(table))
+    got = {}
+    for r in found.withColumn("hash", F.col("doc")).collect():
+        got.setdefault((r.doc_id if r.doc_id is not None else 2**63 - 1, r.hash), []).append((r.start, r.end, r.n_words))
+    keys = {(r["doc_id"] if r["doc_id"] is not None else 2**63 - 1, r["text"] or ""): r["h"] for r in rows(table.withColumn("h", F.xxhash64("text")))}
+    assert {k: sorted(v) for k, v in got.items()} == {(k[0], keys[k]): sorted(v) for k, v in want.items() if v}
+    caught = {r.doc_id for r in found.collect()}
+    assert set(range(3001, 3030)) <= caught and 3000 not in caught and not caught & set(range(4000, 4020)) and {4100, 4101, None} <= caught
+    for r in rows(passages.remove_passages(table, found).join(table.select(F.col("doc_id").alias("d"), F.col("text").alias("was")).distinct(), F.col("d") == F.col("doc_id"))):
+        spans = want.get((r["doc_id"], r["was"] or ""))
+        if spans and r["doc_id"] >= 3000:
+            left, at = "", 0
+            for a, b, _ in sorted(spans):
+                left, at = left + r["was"][at:a], b
+            assert r["text"] == left + r["was"][at:]
+    assert rows(passages.repeated_passages(empty(docs))) == []
+
+
 # 5 ------------------------------------------------------------------------------------
 
 
