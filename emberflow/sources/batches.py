@@ -99,9 +99,9 @@ def ordinal_codes(df: DataFrame, column: str) -> DataFrame:
 def encode_ordinal(df: DataFrame, column: str, codes: DataFrame, out: str | None = None) -> DataFrame:
     """``df`` with the code of ``column``; unknown values get the number of known ones."""
     name = out or column
-    unknown = codes.agg(F.count("*").alias("__unknown"))
-    joined = df.join(codes.withColumnRenamed("value", "__value").withColumnRenamed("code", "__code"), F.col(column) == F.col("__value"), "left").crossJoin(F.broadcast(unknown))  # one row
-    return joined.withColumn(name, F.coalesce("__code", "__unknown")).drop("__value", "__code", "__unknown")
+    unknown = F.lit(codes.count()).cast("long")
+    joined = df.join(codes.withColumnsRenamed({"value": "__value", "code": "__code"}), F.col(column) == F.col("__value"), "left")
+    return joined.withColumn(name, F.coalesce("__code", unknown)).drop("__value", "__code")
 
 
 def prepare_tabular(df: DataFrame, categorical: Sequence[str], continuous: Sequence[str], label: str, positive: str, codes: dict[str, DataFrame] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
