@@ -34,8 +34,9 @@ from pyspark.sql import types as T
 #: Fixed value: the published pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of each half of a store of results in a worker; a full half replaces the other.
-CACHE = 90_000
-#: Prefixes whose last token is kept.
+CACHE = 250_000
+#: Pairs of tokens whose test is kept, and prefixes whose last token is.
+PAIRS = 300_000
 PREFIXES = 150_000
 #: Texts of one Arrow batch of results.
 SLICE = 256
@@ -152,7 +153,7 @@ class PrefixEncoder:
         self.edges: dict[int, list[tuple[int, int, int]]] = {}
         self.fits: dict[int, bool] = {}
         self.words = Recent(CACHE)  # a space and letters, by the letters
-        self.others = Recent(CACHE // 4)
+        self.others = Recent(CACHE // 8)
         self.tails = {c: self.bytes_of([self.single[ord(c)]]) for c in ",.!?;:"}  # each a pre-token after letters and before a space
 
     def _merge(self, data: bytes) -> list[int]:
@@ -207,7 +208,7 @@ class PrefixEncoder:
                     merge = self.merges.get(x << 32 | y)
                     if merge is not None and x_made < merge[0] < x_until and y_made < merge[0] <= y_until:
                         fit = False
-            if len(self.fits) >= 3 * CACHE:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             self.fits[key] = fit
         return fit
