@@ -34,7 +34,7 @@ from .common import materialize
 #: A unit: up to a line end, or to marks before white space.
 _UNIT = regex.compile(r"[^\n]*?(?:[.!?…。,;:]+(?=\s)|(?=\n)|\Z)", regex.V1)
 _WORD = regex.compile(r"\w+")
-UNITS = "id long, doc long, digest long, unit int, words int, start int, stop int, again boolean"
+UNITS = "id long, doc int, digest long, unit int, words int, start int, chars int, again boolean"
 _LAST = 2**63 - 1
 
 
@@ -58,7 +58,7 @@ def digest(words: list[str]) -> int:
 
 def units(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per unit of every text; ``again``: the text had it before."""
-    kinds = pa.schema([("id", pa.int64()), ("doc", pa.int64()), ("digest", pa.int64()), ("unit", pa.int32()), ("words", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("again", pa.bool_())])
+    kinds = pa.schema([("id", pa.int64()), ("doc", pa.int32()), ("digest", pa.int64()), ("unit", pa.int32()), ("words", pa.int32()), ("start", pa.int32()), ("chars", pa.int32()), ("again", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[list[int]] = [[] for _ in kinds]
@@ -71,7 +71,7 @@ def units(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
                 seen: set[int] = set()
                 for n, (start, end, words) in enumerate(cut(body.decode("utf-8", "replace"))):
                     code = digest(words)
-                    for column, value in zip(made, (key, doc, code, n, len(words), start, end, code in seen), strict=True):
+                    for column, value in zip(made, (key, doc, code, n, len(words), start, end - start, code in seen), strict=True):
                         column.append(value)
                     seen.add(code)
                     if len(made[0]) >= 50_000:
@@ -81,18 +81,19 @@ def units(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
     key = F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_LAST)).alias("id")
     body = F.col(f"`{text}`")
-    return docs.select(key, F.xxhash64(body).alias("doc"), body.cast("binary").alias("text")).mapInArrow(run, UNITS)
+    return docs.select(key, F.hash(body).alias("doc"), body.cast("binary").alias("text")).mapInArrow(run, UNITS)
 
 
-def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = 25) -> DataFrame:
+def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = 30) -> DataFrame:
     """(id, doc, start, end, n_words, n_units, kept_id): what is removed, and the text that keeps it (its first unit)."""
     cutting = materialize(units(docs, id, text), "units")
     firsts = cutting.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = cutting.join(firsts, "digest").where("again OR id <> first").select("id", "doc", "unit", "words", "start", "stop", "first")
-    again = again.dropDuplicates(["id", "doc", "unit"])  # repeated rows
+    again = cutting.join(firsts, "digest").where("again OR id <> first").select("id", "doc", "unit", "words", "start", "chars", "first")
+    # one exchange by text serves the removal of repeated rows, the window and the grouping
+    again = again.repartition("id", "doc").dropDuplicates(["id", "doc", "unit"])
     row = F.row_number().over(Window.partitionBy("id", "doc").orderBy("unit"))
     runs = again.withColumn("run", F.col("unit") - row).groupBy("id", "doc", "run")
-    found = runs.agg(F.min("start").alias("start"), F.max("stop").alias("end"), F.sum("words").cast("long").alias("n_words"), F.count("*").alias("n_units"), F.min_by("first", "unit").alias("first"))
+    found = runs.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("chars")).alias("end"), F.sum("words").cast("long").alias("n_words"), F.count("*").alias("n_units"), F.min_by("first", "unit").alias("first"))
     real = lambda c: F.when(F.col(c) != _LAST, F.col(c))
     return found.where(F.col("n_words") >= min_words).select(real("id").alias(id), "doc", "start", "end", "n_words", "n_units", real("first").alias("kept_id"))
 
@@ -107,7 +108,7 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id: str = "doc_id", te
     """``docs`` without the passages, and ``removed``: their spans in the original text (empty if none)."""
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "removed"])
     spans = passages.groupBy(F.coalesce(F.col(f"`{id}`"), F.lit(_LAST)).alias("__id"), F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_LAST)), "__doc": F.xxhash64(F.col(f"`{text}`"))})
+    keyed = docs.withColumns({"__id": F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_LAST)), "__doc": F.hash(F.col(f"`{text}`"))})
     joined = keyed.join(spans, ["__id", "__doc"], "left").drop("__id", "__doc")
     kept = F.when(F.col("removed").isNotNull(), _without(F.col(f"`{text}`"), F.col("removed"))).otherwise(F.col(f"`{text}`"))
     none = F.array().cast("array<struct<start:int,end:int>>")
