@@ -32,7 +32,7 @@ def sliced(df: DataFrame, key: str, batch_size: int, drop_last: bool = False) ->
     rows = numbered(df, key, "__n")
     if drop_last:
         rows = rows.where(F.col("__n") < df.count() // batch_size * batch_size)
-    return rows.withColumns({"batch_id": F.floor(F.col("__n") / batch_size), "sample": (F.col("__n") % batch_size).cast("int")}).drop("__n")
+    return rows.withColumns({"batch_id": F.expr(f"__n DIV {int(batch_size)}"), "sample": (F.col("__n") % batch_size).cast("int")}).drop("__n")
 
 
 def global_batch_id(seq: Column, replica: Column | int, replicas: int) -> Column:
@@ -57,7 +57,7 @@ def in_batch_order(df: DataFrame) -> DataFrame:
 def chunked(df: DataFrame, key: str, n: int) -> DataFrame:
     """``df`` with one of ``n`` chunks of nearly equal rows, in the order of ``key``."""
     total = max(df.count(), 1)
-    return numbered(df, key, "__n").withColumn("chunk", F.floor(F.col("__n") * n / total).cast("int")).drop("__n")
+    return numbered(df, key, "__n").withColumn("chunk", F.expr(f"__n * {int(n)} DIV {int(total)}").cast("int")).drop("__n")
 
 
 def every_nth(step: Column, n: int) -> Column:

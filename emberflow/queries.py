@@ -32,7 +32,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _batch(key: str) -> Column:
-    return F.floor(F.col(key) / BATCH).alias("batch_id")
+    return F.expr(f"{key} DIV {BATCH}").alias("batch_id")
 
 
 def _lines(spark: SparkSession, d: str, feature: str = "part") -> DataFrame:
@@ -348,7 +348,7 @@ def train_touch_insert(spark, d):
 
 
 def adam_step_powers(spark, d):
-    rows = _t(spark, d, "events").select(F.shiftleft(F.col("user_id") % 3 + 1, 56).bitwiseOR(F.col("user_id")).alias("sign"), F.floor(F.col("event_id") / 100).alias("batch_id"))
+    rows = _t(spark, d, "events").select(F.shiftleft(F.col("user_id") % 3 + 1, 56).bitwiseOR(F.col("user_id")).alias("sign"), F.expr("event_id DIV 100").alias("batch_id"))
     p1, p2 = Adam().powers(F.col("step"))
     return table.group_steps(rows, 8).select(F.col("group").alias("key_group"), "batch_id", F.col("step").cast("long").alias("step"), F.round(p1, 8).alias("p1"), F.round(p2, 8).alias("p2"))
 
