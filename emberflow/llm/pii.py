@@ -67,15 +67,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _running(lengths: Column) -> Column:
-    """Sum of what stands before each entry, block by block: near linear in the entries."""
-    add = lambda a, x: a + x
-    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(lengths), F.lit(1)) - 1) / _BLOCK).cast("int"))
-    part = lambda b, n: F.slice(lengths, b * _BLOCK + 1, n)
-    total = lambda xs: F.aggregate(xs, F.lit(0), add)
+def _running(values: Column, merge: Callable[[Column, Column], Column] = lambda a, x: a + x) -> Column:
+    """Sum (or another merge, from 0) of what stands before each entry, block by block: near linear in the entries."""
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / _BLOCK).cast("int"))
+    part = lambda b, n: F.slice(values, b * _BLOCK + 1, n)
+    total = lambda xs: F.aggregate(xs, F.lit(0), merge)
     totals = F.transform(starts, lambda b: total(part(b, F.lit(_BLOCK))))
     bases = let(totals, lambda t: F.transform(t, lambda _, b: total(F.slice(t, F.lit(1), b))))
-    return F.flatten(F.transform(bases, lambda base, b: let(part(b, F.lit(_BLOCK)), lambda own: F.transform(own, lambda _, i: base + total(F.slice(own, F.lit(1), i))))))
+    return F.flatten(F.transform(bases, lambda base, b: let(part(b, F.lit(_BLOCK)), lambda own: F.transform(own, lambda _, i: merge(base, total(F.slice(own, F.lit(1), i)))))))
 
 
 def find_spans(text: Column, pattern: str) -> Column:
@@ -91,7 +90,7 @@ def find_spans(text: Column, pattern: str) -> Column:
             start = x["at"] + F.char_length(gap)
             return F.struct(start.alias("start"), (start + F.char_length(x["m"])).alias("end"), x["m"].alias("text"), F.right(gap, F.lit(24)).alias("before"), F.left(F.get(between, i + 1), F.lit(4)).alias("after"))
 
-        return F.transform(F.zip_with(found, let(lengths, _running), lambda m, at: F.struct(m.alias("m"), at.alias("at"))), span)
+        return F.transform(F.zip_with(found, let(lengths, lambda v: _running(v)), lambda m, at: F.struct(m.alias("m"), at.alias("at"))), span)
 
     return let(raw, spans)
 
@@ -300,16 +299,24 @@ def listed(spans: Column) -> Column:
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
     """``found`` of find_personal_data with every span of the text replaced by <KIND>, without the span columns.
 
-    Where spans of different kinds overlap, the first to start covers what it shares with the next.
+    Where spans of different kinds overlap, the first to start covers what it
+    shares with the next. Texts with many spans are cut as arrays of characters,
+    so that each piece costs its own length only.
     """
     t = F.col(f"`{text}`")
     flat = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     rest = [F.col(f"`{c}`") for c in found.columns if c not in ("spans", "base_spans", text)]
     rows = found.select(*rest, t.alias(text), flat.alias("__flat"))
-    # covered up to here, before each span
-    ends = F.transform("__flat", lambda _, i: F.when(i == 0, F.lit(0)).otherwise(F.coalesce(F.array_max(F.transform(F.slice("__flat", F.lit(1), i), lambda y: y["end"])), F.lit(0))))
-    rows = rows.select(*rest, text, "__flat", ends.alias("__ends"))
-    parts = F.zip_with("__flat", "__ends", lambda x, e: F.concat(F.substring(t, e + 1, F.greatest(x["start"] - e, F.lit(0))), F.when(x["end"] > e, F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")))
-    last = F.coalesce(F.array_max(F.transform("__flat", lambda x: x["end"])), F.lit(0))
-    whole = F.concat(F.array_join(parts, ""), F.substring(t, last + 1, F.char_length(t)))
-    return rows.select(*rest, F.when(F.size("__flat") > 0, whole).otherwise(t).alias(text))
+    covered = let(F.transform("__flat", lambda x: x["end"]), lambda ends: _running(ends, lambda a, x: F.greatest(a, x)))  # before each span
+    rows = rows.select(*rest, text, "__flat", covered.alias("__ends"))
+    mark = lambda x, e: F.when(x["end"] > e, F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")
+    last = F.array_max(F.transform("__flat", lambda x: x["end"]))
+
+    def joined(piece: Callable[[Column, Column], Column]) -> Column:
+        """Pieces between the spans, by (first character from 0, length), and the marks."""
+        parts = F.zip_with("__flat", "__ends", lambda x, e: F.concat(piece(e, F.greatest(x["start"] - e, F.lit(0))), mark(x, e)))
+        return F.concat(F.array_join(parts, ""), piece(last, F.char_length(t)))
+
+    few = joined(lambda at, n: F.substring(t, at + 1, n))
+    many = let(F.split(t, ""), lambda c: joined(lambda at, n: F.array_join(F.slice(c, at + 1, n), "")))
+    return rows.select(*rest, F.when(F.size("__flat") == 0, t).when(F.size("__flat") <= 32, few).otherwise(many).alias(text))

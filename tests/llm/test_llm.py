@@ -246,6 +246,8 @@ def test_pii_base_rules_and_redaction(docs):
         if r["doc_id"] == 2006:
             assert r["text"] == "<IP> " * 700
     assert rows(pii.find_personal_data(empty(docs))) == []
+    far = spark.createDataFrame([(1, "😀é 1.2.3.4 +49 30 1234567, a@b.cd;" * 3000, None, None, None)], SCHEMA)
+    assert rows(pii.redact(pii.find_personal_data(far)))[0]["text"] == "😀é <IP> <PHONE>, <EMAIL>;" * 3000
 
 
 def test_pii_booster_on_fresh_samples(spark):
