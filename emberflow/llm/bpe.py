@@ -34,9 +34,9 @@ from pyspark.sql import types as T
 #: Fixed value: the published pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of each half of a store of results in a worker; a full half replaces the other.
-CACHE = 250_000
+CACHE = 180_000
 #: Pairs of tokens whose test is kept, and prefixes whose last token is.
-PAIRS = 300_000
+PAIRS = 250_000
 PREFIXES = 150_000
 #: Texts of one Arrow batch of results.
 SLICE = 256
@@ -145,7 +145,7 @@ class PrefixEncoder:
         special = set(self.special.values())
         self.automaton = SuffixAutomaton([(t, n) for n, t in enumerate(self.tokens) if t and n not in special and self._merge(t) == [n]])
         self.prefixes: dict[int, int] = {}  # prefix << 8 | byte -> longer prefix, for prefixes met before
-        self.at_prefix: list[tuple[int, int]] = [(0, -1)]  # automaton node and last token of each
+        self.prefix_node, self.prefix_token = array("i", [0]), array("i", [-1])  # automaton node and last token of each
         self.inner_space = regex.compile(r"\s").search
         self.parts = {}  # token -> rank and ids of the merge that makes it
         for key, (rank, new) in self.merges.items():
@@ -220,14 +220,14 @@ class PrefixEncoder:
         """
         last = [-1]
         prefix = node = 0
-        steps, ends, prefixes, at_prefix = self.automaton.steps, self.automaton.ends, self.prefixes, self.at_prefix
+        steps, ends, prefixes, nodes, tokens = self.automaton.steps, self.automaton.ends, self.prefixes, self.prefix_node, self.prefix_token
         for byte in data:
             key = prefix << 8 | byte
             known = prefixes.get(key, -1) if prefix >= 0 else -1
             if known > 0:
                 prefix = known
-                node, token = at_prefix[known]
-                last.append(token)
+                node = nodes[known]
+                last.append(tokens[known])
                 continue
             step = node << 8 | byte
             node = steps[step] if step in steps else self.automaton.step(node, byte)
@@ -241,9 +241,10 @@ class PrefixEncoder:
             else:
                 token = -1
             last.append(token)
-            if prefix >= 0 and len(at_prefix) < PREFIXES:
-                prefixes[key] = prefix = len(at_prefix)
-                at_prefix.append((node, token))
+            if prefix >= 0 and len(nodes) < PREFIXES:
+                prefixes[key] = prefix = len(nodes)
+                nodes.append(node)
+                tokens.append(token)
             else:
                 prefix = -1
         ids, at = [], len(data)
