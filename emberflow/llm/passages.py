@@ -1,26 +1,36 @@
 """Operator 4, substring dedup by hashing lines and paragraphs.
 
-A text is cut into units: its lines, and these at marks before white space, so
-a passage that was put into the middle of a line still has units of its own.
+A text is cut into units: its lines, these at marks before white space, and
+what is longer than sixteen words after the word with the least hash of each
+sixteen. All cuts depend on the words around them only, so a passage put into the
+middle of other text has the same units inside, whatever stands around it.
 Units are normalised (lower case, words only) and their digests grouped
 globally. The earliest occurrence, by id, then offset, is kept; every other one
-is a repeat. Consecutive repeats of a text form a passage, and passages of
-``min_words`` or more are removed; shorter ones are common phrases and stay.
+is a repeat. ``repeated_passages`` gives runs of whole units. The ends of a
+passage lie within units that also hold other text: ``whole_passages`` takes
+the runs of ``seed_words`` or more, extends each word by word while the text
+that keeps it has the same words, joins what overlaps, and reports what then
+has ``min_words`` or more; shorter ones are common phrases and stay.
 Offsets are code points of the original text, ends exclusive.
 
+A passage of n words shares all cuts but those within sixteen words of its ends,
+so its whole units hold n - 32 words at least: a passage of 44 words has a seed
+wherever it stands. Shorter ones have one if their units lie well.
+
 Grouping keeps one row per digest and task before the exchange; repeats are
 found by a join that Spark splits at hot digests; passages are formed within one
-text. Digests have 64 bits: a passage needs several equal neighbours, so a
-chance collision of one unit removes nothing.
+text; extension asks for bounded pieces around the ends, by one join with the
+texts. Digests have 64 bits.
 
 Defined cases: null and empty texts have no units; a null id ranks last;
 repeated rows, equal in id and text, count as one document and are treated
-alike, and texts that share an id do not count as repeats of each other; texts are cut whole; an empty table gives an empty table; columns named
-like results are replaced.
+alike; texts that share an id do not count as repeats of each other; texts are cut whole; an empty table gives an empty
+table; columns named like results are replaced.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,18 +44,64 @@ from .common import materialize
 #: A unit: up to a line end, or to marks before white space.
 _UNIT = regex.compile(r"[^\n]*?(?:[.!?…。,;:]+(?=\s)|(?=\n)|\Z)", regex.V1)
 _WORD = regex.compile(r"\w+")
-UNITS = "id long, doc int, digest long, unit int, words int, start int, chars int, again boolean"
+UNITS = "id long, doc int, digest long, unit int, word int, words int, start int, chars int, again boolean"
+#: Units have at most so many words, or are cut after the least of each so many.
+_LONG = 16
+#: Characters looked at around an end; units have at most sixteen words.
+_AROUND = 400
 _LAST = 2**63 - 1
 
 
+def _lower(text: str) -> str:
+    """Lower case with the same offsets: letters whose lower case is longer stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+_RANKS: dict[str, int] = {}
+
+
+def _rank(word: str) -> int:
+    if len(_RANKS) > 500_000:
+        _RANKS.clear()
+    return _RANKS.setdefault(word, zlib.crc32(word.encode("utf-8", "replace")))
+
+
+def _pieces(words: list[str]) -> list[int]:
+    """Ends of the pieces of a long unit: after the least (and last of these) of each ``_LONG`` words."""
+    h = [_RANKS.get(w) or _rank(w) for w in words]
+    ends, at = [], -1
+    for i in range(_LONG - 1, len(h)):
+        if at <= i - _LONG:
+            first = i - _LONG + 1
+            least = min(h[first : i + 1])
+            at = next(k for k in range(i, first - 1, -1) if h[k] == least)
+        elif h[i] <= h[at]:
+            at = i
+        else:
+            continue
+        ends.append(at + 1)
+    if ends[-1] != len(words):
+        ends.append(len(words))
+    return ends
+
+
 def cut(text: str) -> Iterator[tuple[int, int, list[str]]]:
     """(start, end, normalised words) of the units that have words."""
+    text = _lower(text)
     for m in _UNIT.finditer(text):
-        words = _WORD.findall(m[0].lower())
+        words = _WORD.findall(m[0])
         if words:
             start, end = m.span()
-            lead = len(m[0]) - len(m[0].lstrip())
-            yield start + lead, end, words
+            start += len(m[0]) - len(m[0].lstrip())
+            if len(words) <= _LONG:
+                yield start, end, words
+                continue
+            spans = [w.span() for w in _WORD.finditer(text, start, end)]
+            first = 0
+            for last in _pieces(words):
+                yield start if first == 0 else spans[first][0], end if last == len(words) else spans[last - 1][1], words[first:last]
+                first = last
 
 
 def _signed(x: int) -> int:
@@ -58,7 +114,7 @@ def digest(words: list[str]) -> int:
 
 def units(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per unit of every text; ``again``: the text had it before."""
-    kinds = pa.schema([("id", pa.int64()), ("doc", pa.int32()), ("digest", pa.int64()), ("unit", pa.int32()), ("words", pa.int32()), ("start", pa.int32()), ("chars", pa.int32()), ("again", pa.bool_())])
+    kinds = pa.schema([("id", pa.int64()), ("doc", pa.int32()), ("digest", pa.int64()), ("unit", pa.int32()), ("word", pa.int32()), ("words", pa.int32()), ("start", pa.int32()), ("chars", pa.int32()), ("again", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[list[int]] = [[] for _ in kinds]
@@ -69,11 +125,13 @@ def units(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
                     continue
                 key, doc = name.as_py(), body_hash.as_py()
                 seen: set[int] = set()
+                at = 0
                 for n, (start, end, words) in enumerate(cut(body.decode("utf-8", "replace"))):
                     code = digest(words)
-                    for column, value in zip(made, (key, doc, code, n, len(words), start, end - start, code in seen), strict=True):
+                    for column, value in zip(made, (key, doc, code, n, at, len(words), start, end - start, code in seen), strict=True):
                         column.append(value)
                     seen.add(code)
+                    at += len(words)
                     if len(made[0]) >= 50_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(made, kinds, strict=True)], schema=kinds)
                         made = [[] for _ in kinds]
@@ -84,18 +142,87 @@ def units(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(key, F.hash(body).alias("doc"), body.cast("binary").alias("text")).mapInArrow(run, UNITS)
 
 
-def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = 30) -> DataFrame:
-    """(id, doc, start, end, n_words, n_units, kept_id): what is removed, and the text that keeps it (its first unit)."""
+def _runs(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """A row per run of consecutive repeated units; ``first`` keeps its first unit; ``left`` and ``right`` are units near its ends and where they are kept."""
     cutting = materialize(units(docs, id, text), "units")
-    firsts = cutting.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = cutting.join(firsts, "digest").where("again OR id <> first").select("id", "doc", "unit", "words", "start", "chars", "first")
+    firsts = cutting.groupBy("digest").agg(F.min(F.struct("id", "doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = cutting.join(firsts, "digest").where("again OR id <> first.id").select("id", "doc", "unit", "word", "words", "start", "chars", "first")
     # one exchange by text serves the removal of repeated rows, the window and the grouping
     again = again.repartition("id", "doc").dropDuplicates(["id", "doc", "unit"])
     row = F.row_number().over(Window.partitionBy("id", "doc").orderBy("unit"))
     runs = again.withColumn("run", F.col("unit") - row).groupBy("id", "doc", "run")
-    found = runs.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("chars")).alias("end"), F.sum("words").cast("long").alias("n_words"), F.count("*").alias("n_units"), F.min_by("first", "unit").alias("first"))
+    # short units may be kept by texts that share nothing else, so the ends go by the outermost unit of five words, or the longest
+    at = F.struct("first", "start", "word")
+    unit = F.when(F.col("words") >= 5, F.col("unit"))
+    ends = [F.coalesce(by(at, unit), F.max_by(at, "words")).alias(n) for n, by in (("left", F.min_by), ("right", F.max_by))]
+    # and, as those may be kept by a shorter copy, by the outermost of the earliest text
+    far = lambda u: F.when(F.col("words") >= 5, F.struct("first.id", "first.doc", u.alias("u")))
+    ends += [F.coalesce(F.min_by(at, far(u)), F.max_by(at, "words")).alias(n) for n, u in (("left2", F.col("unit")), ("right2", -F.col("unit")))]
+    return runs.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("chars")).alias("end"), F.min("word").alias("word"), F.sum("words").cast("long").alias("n_words"), F.count("*").alias("n_units"), F.min_by("first", "unit").alias("first"), *ends)
+
+
+def _named(found: DataFrame, id: str) -> DataFrame:
     real = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return found.where(F.col("n_words") >= min_words).select(real("id").alias(id), "doc", "start", "end", "n_words", "n_units", real("first").alias("kept_id"))
+    return found.select(real("id").alias(id), "doc", "start", "end", "n_words", "n_units", real("first.id").alias("kept_id"))
+
+
+def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = 30) -> DataFrame:
+    """Whole repeated units: (id, doc, start, end, n_words, n_units, kept_id): what is removed, and the text that keeps it (its first unit)."""
+    return _named(_runs(docs, id, text).where(F.col("n_words") >= min_words), id)
+
+
+def extension(own: str, kept: str, back: bool) -> tuple[int, int]:
+    """(words, characters of ``own``) that are equal from the start of both, or from their ends if ``back``."""
+    a, b = ([m.span() + (m[0],) for m in _WORD.finditer(_lower(t))] for t in (own, kept))
+    for spans, piece in ((a, own), (b, kept)):
+        if len(piece) >= _AROUND and spans:  # its far word may be cut
+            spans.pop(0 if back else -1)
+    if back:
+        a.reverse()
+        b.reverse()
+    n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x[2] != y[2]), min(len(a), len(b)))
+    return n, 0 if n == 0 else len(own) - a[n - 1][0] if back else a[n - 1][1]
+
+
+def whole_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = 30, seed_words: int = 12) -> DataFrame:
+    """As ``repeated_passages``, each extended to the words around it that its kept text has too."""
+    seeds = materialize(_runs(docs, id, text).where(F.col("n_words") >= min(seed_words, min_words)), "seeds")
+    c = F.col
+    asks = []
+    for way, (end, back) in enumerate((("left", True), ("left2", True), ("right", False), ("right2", False))):
+        for own, i, d, at in ((True, c("id"), c("doc"), c(f"{end}.start")), (False, c(f"{end}.first.id"), c(f"{end}.first.doc"), c(f"{end}.first.start"))):
+            asks.append(F.struct(F.lit(way).alias("way"), F.lit(back).alias("back"), F.lit(own).alias("own"), i.alias("__id"), d.alias("__doc"), at.alias("at"), c(f"{end}.word").alias("word")))
+    asked = seeds.select("id", "doc", "run", F.explode(F.array(*asks)).alias("x")).select("id", "doc", "run", "x.*")
+    body = F.col(f"`{text}`")
+    bodies = docs.select(F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_LAST)).alias("__id"), F.hash(body).alias("__doc"), body.alias("__text")).dropDuplicates(["__id", "__doc"])
+    low = F.greatest(c("at") - _AROUND, F.lit(0))
+    piece = F.when(c("back"), F.substring("__text", low + 1, c("at") - low)).otherwise(F.substring("__text", c("at") + 1, F.lit(_AROUND)))
+    pieces = asked.join(bodies, ["__id", "__doc"]).select("id", "doc", "run", "way", "back", "own", "at", "word", piece.alias("piece"))
+    of = lambda own, x: F.max(F.when(c("own") == own, c(x)))
+    pairs = pieces.groupBy("id", "doc", "run", "way", "back").agg(of(True, "piece").alias("own"), of(False, "piece").alias("kept"), of(True, "at").alias("at"), F.max("word").alias("word"))
+    pairs = pairs.select("id", "doc", "run", "back", "own", "kept", "at", "word")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = []
+            for back, own, kept, at, word in zip(*(batch.column(k).to_pylist() for k in range(3, 8)), strict=True):
+                n, chars = extension(own, kept, back)
+                more.append((word - n, at - chars) if back else (word + n, at + chars))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([m[0] for m in more], pa.int32()), pa.array([m[1] for m in more], pa.int32())], names=["id", "doc", "run", "back", "word", "char"])
+
+    more = pairs.mapInArrow(run, "id long, doc int, run int, back boolean, word int, char int")
+    ends = more.groupBy("id", "doc", "run").agg(*[f(F.when(c("back") == b, c(x))).alias(f"{x}_{n}") for b, n, f in ((True, "l", F.min), (False, "r", F.max)) for x in ("word", "char")])
+    long = seeds.join(ends, ["id", "doc", "run"])
+    long = long.select(
+        "id", "doc", "n_units", "first",
+        F.least(c("start"), c("char_l")).alias("start"), F.greatest(c("end"), c("char_r")).alias("end"),
+        F.least(c("word"), c("word_l")).alias("word"), F.greatest(c("word") + c("n_words"), c("word_r")).alias("stop"),
+    )
+    by = Window.partitionBy("id", "doc").orderBy("word", "stop")
+    before = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    parted = long.withColumn("new", F.when(c("word") <= before, 0).otherwise(1)).withColumn("part", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    found = parted.groupBy("id", "doc", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("stop") - F.min("word")).cast("long").alias("n_words"), F.sum("n_units").alias("n_units"), F.min_by("first", "word").alias("first"))
+    return _named(found.where(c("n_words") >= min_words), id)
 
 
 def _without(text: Column, spans: Column) -> Column:

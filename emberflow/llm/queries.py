@@ -45,7 +45,7 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return passages.repeated_passages(docs).select("doc_id", "start", "end", "n_words", "n_units", F.col("kept_id").alias("kept_doc_id"))
+    return passages.whole_passages(docs).select("doc_id", "start", "end", "n_words", "n_units", F.col("kept_id").alias("kept_doc_id"))
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,6 +198,27 @@ def test_repeated_passages(docs):
     assert rows(passages.repeated_passages(empty(docs))) == []
 
 
+def test_passages_at_any_offset(spark):
+    rng = random.Random(31)
+    said = lambda n, marks: " ".join(f"w{rng.randint(0, 3000)}" + ("." if marks and rng.random() < 0.08 else "") for _ in range(n))
+    sources = [said(400, k % 2) for k in range(40)]
+    table = [(i, t) for i, t in enumerate(sources)]
+    cuts = []
+    for k in range(200):
+        i, n = rng.randrange(40), rng.randint(51, 80)
+        at = rng.randint(0, 400 - n)
+        cuts.append(n)
+        piece = " ".join(sources[i].split()[at : at + n])
+        table.append((1000 + k, f"{said(rng.randint(5, 60), False)} {piece} {said(rng.randint(5, 60), False)}"))
+    texts_ = dict(table)
+    found = passages.whole_passages(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in found}
+    assert set(got) == set(range(1000, 1200)) and len(found) == 200
+    for k, n in enumerate(cuts):
+        r = got[1000 + k]
+        assert n <= r.n_words <= n + 2 and r.n_words == len(texts_[1000 + k][r.start : r.end].split())
+
+
 # 5 ------------------------------------------------------------------------------------
 
 
