@@ -24,7 +24,8 @@ texts. Digests have 64 bits.
 
 Defined cases: null and empty texts have no units; a null id ranks last;
 repeated rows, equal in id and text, count as one document and are treated
-alike; texts that share an id do not count as repeats of each other; texts are cut whole; an empty table gives an empty
+alike; texts that share an id, or have none, are different documents, ranked by
+(id, hash of the text); texts are cut whole; an empty table gives an empty
 table; columns named like results are replaced.
 """
 
@@ -146,7 +147,7 @@ def _runs(docs: DataFrame, id: str, text: str) -> DataFrame:
     """A row per run of consecutive repeated units; ``first`` keeps its first unit; ``left`` and ``right`` are units near its ends and where they are kept."""
     cutting = materialize(units(docs, id, text), "units")
     firsts = cutting.groupBy("digest").agg(F.min(F.struct("id", "doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = cutting.join(firsts, "digest").where("again OR id <> first.id").select("id", "doc", "unit", "word", "words", "start", "chars", "first")
+    again = cutting.join(firsts, "digest").where("again OR id <> first.id OR doc <> first.doc").select("id", "doc", "unit", "word", "words", "start", "chars", "first")
     # one exchange by text serves the removal of repeated rows, the window and the grouping
     again = again.repartition("id", "doc").dropDuplicates(["id", "doc", "unit"])
     row = F.row_number().over(Window.partitionBy("id", "doc").orderBy("unit"))

@@ -219,6 +219,16 @@ def test_passages_at_any_offset(spark):
         assert n <= r.n_words <= n + 2 and r.n_words == len(texts_[1000 + k][r.start : r.end].split())
 
 
+def test_passages_of_texts_without_or_of_equal_ids(spark):
+    for i in (None, 7):
+        shared = " ".join(f"s{i}x{k}" for k in range(60))
+        table = [(i, f"{' '.join(f'{i}a{n}b{k}' for k in range(20))}.\n{shared}\nend {n}") for n in range(4)] * 2
+        df = spark.createDataFrame(table, "doc_id long, text string")
+        for find in (passages.repeated_passages, passages.whole_passages):
+            found = find(df).collect()
+            assert len(found) == 3 and len({r.doc for r in found}) == 3 and {r.doc_id for r in found} == {r.kept_id for r in found} == {i}
+
+
 # 5 ------------------------------------------------------------------------------------
 
 
