@@ -1,7 +1,7 @@
 """Operator 4, substring dedup by hashing lines and paragraphs.
 
-A text is cut into units: its lines, these at marks before white space, and
-what is longer than sixteen words after the word with the least hash of each
+A text is cut into units: its lines, these at sentence marks before white space,
+and what is longer than sixteen words after the word with the least hash of each
 sixteen. All cuts depend on the words around them only, so a passage put into the
 middle of other text has the same units inside, whatever stands around it.
 Units are normalised (lower case, words only) and their digests grouped
@@ -47,10 +47,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Where units end: marks before white space, and line ends.
-_END = re.compile(r"[.!?…。,;:]+(?=\s)|\n")
+#: Where units end: sentence marks before white space, and line ends.
+_END = re.compile(r"[.!?…。]+(?=\s)|\n")
 _WORD = re.compile(r"\w+")
-UNITS = "id long, doc long, digest long, unit int, word int, words int, start int, chars int, again boolean, last boolean"
+UNITS = "id long, doc long, digest long, word int, words int, start int, chars int, again boolean, last boolean"
 #: Units have at most so many words, or are cut after the least of each so many.
 _LONG = 16
 #: Characters looked at around an end; units have at most sixteen words.
@@ -129,7 +129,7 @@ def digest(words: list[str]) -> int:
 
 def units(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per unit of every text; ``again``: the text had it before; ``last``: no unit follows."""
-    kinds = pa.schema([*[(n, pa.int64()) for n in ("id", "doc", "digest")], *[(n, pa.int32()) for n in ("unit", "word", "words", "start", "chars")], ("again", pa.bool_()), ("last", pa.bool_())])
+    kinds = pa.schema([*[(n, pa.int64()) for n in ("id", "doc", "digest")], *[(n, pa.int32()) for n in ("word", "words", "start", "chars")], ("again", pa.bool_()), ("last", pa.bool_())])
 
     def batch_of(made: list[list[int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(made, kinds, strict=True)], schema=kinds)
@@ -147,15 +147,14 @@ def units(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
                 if len(known) > _REMEMBERED:
                     del known[next(iter(known))]
                 seen: set[int] = set()
-                at = n = 0
+                at = 0
                 for start, end, words in cut(body.decode("utf-8", "replace")):
                     code = digest(words)
-                    for column, value in zip(made, (*key, code, n, at, len(words), start, end - start, code in seen, False), strict=True):
+                    for column, value in zip(made, (*key, code, at, len(words), start, end - start, code in seen, False), strict=True):
                         column.append(value)
                     seen.add(code)
                     at += len(words)
-                    n += 1
-                if n:
+                if at:
                     made[-1][-1] = True
                 if len(made[0]) >= 50_000:
                     yield batch_of(made)
@@ -180,19 +179,20 @@ def _runs(docs: DataFrame, id: str, text: str) -> DataFrame:
     cutting = materialize(units(docs, id, text), "units")
     firsts = cutting.groupBy("digest").agg(F.min(F.struct("id", "doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts = materialize(firsts, "repeated-units")
-    again = cutting.join(firsts, "digest").where("again OR id <> first.id OR doc <> first.doc").select("id", "doc", "unit", "word", "words", "start", "chars", "last", "first")
+    again = cutting.join(firsts, "digest").where("again OR id <> first.id OR doc <> first.doc").select("id", "doc", "word", "words", "start", "chars", "last", "first")
     # one exchange by text serves the removal of repeated rows, the window and the grouping
-    again = again.repartition("id", "doc").dropDuplicates(["id", "doc", "unit"])
-    row = F.row_number().over(Window.partitionBy("id", "doc").orderBy("unit"))
-    runs = again.withColumn("run", F.col("unit") - row).groupBy("id", "doc", "run")
+    again = again.repartition("id", "doc").dropDuplicates(["id", "doc", "word"])
+    # units of a run follow each other: the words that stand between repeated units are as many before each of them
+    repeated = F.sum("words").over(Window.partitionBy("id", "doc").orderBy("word").rowsBetween(Window.unboundedPreceding, -1))
+    runs = again.withColumn("run", F.col("word") - F.coalesce(repeated, F.lit(0)).cast("int")).groupBy("id", "doc", "run")
     # short units may be kept by texts that share nothing else, so the ends go by the outermost unit of five words, or the longest
     at = F.struct("first", "start", "word")
-    unit = F.when(F.col("words") >= 5, F.col("unit"))
+    unit = F.when(F.col("words") >= 5, F.col("word"))
     ends = [F.coalesce(by(at, unit), F.max_by(at, "words")).alias(n) for n, by in (("left", F.min_by), ("right", F.max_by))]
     # and, as those may be kept by a shorter copy, by the outermost of the earliest text
     far = lambda u: F.when(F.col("words") >= 5, F.struct("first.id", "first.doc", u.alias("u")))
-    ends += [F.coalesce(F.min_by(at, far(u)), F.max_by(at, "words")).alias(n) for n, u in (("left2", F.col("unit")), ("right2", -F.col("unit")))]
-    return runs.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("chars")).alias("end"), F.min("word").alias("word"), F.sum("words").cast("long").alias("n_words"), F.count("*").alias("n_units"), F.bool_or("last").alias("last"), F.min_by("first", "unit").alias("first"), *ends)
+    ends += [F.coalesce(F.min_by(at, far(u)), F.max_by(at, "words")).alias(n) for n, u in (("left2", F.col("word")), ("right2", -F.col("word")))]
+    return runs.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("chars")).alias("end"), F.min("word").alias("word"), F.sum("words").cast("long").alias("n_words"), F.count("*").alias("n_units"), F.bool_or("last").alias("last"), F.min_by("first", "word").alias("first"), *ends)
 
 
 def _named(found: DataFrame, id: str) -> DataFrame:

@@ -157,9 +157,9 @@ def plain_units(text):
     while at < len(low):
         if low[at] == "\n":
             ends.append(at)
-        elif low[at] in ".!?…。,;:":
+        elif low[at] in ".!?…。":
             stop = at
-            while stop < len(low) and low[stop] in ".!?…。,;:":
+            while stop < len(low) and low[stop] in ".!?…。":
                 stop += 1
             if stop < len(low) and low[stop].isspace():
                 ends.append(stop)
