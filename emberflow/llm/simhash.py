@@ -16,6 +16,13 @@ Exact copies share a fingerprint and are merged before any comparison, so a
 group of copies of any size is one node. A shard above ``block`` fingerprints
 is compared in pairs of blocks, each in a task of its own.
 
+``similar_classes`` links texts by the exact similarity of their shingle sets.
+Several trees, each on another part of a longer fingerprint, propose pairs: in a
+shard each member's nearest, and the nearest pair between the classes these
+make, never all pairs of a group. Each node's nearest pair is held against the
+texts first; of the others only those between classes that this left apart,
+all of them.
+
 Defined cases: null and empty texts have fingerprint zero and link like any
 other; fewer words than a shingle give one shingle of all words; the component
 of rows whose ids are all null is null; repeated rows share their component;
@@ -43,37 +50,53 @@ class SimHashParams:
     shingle: int = 5
     #: 64-bit blocks of a fingerprint
     blocks: int = 8
-    #: probes (first bit, width): the parts of the fingerprint that a tree is built on
-    probes: tuple[tuple[int, int], ...] = tuple((32 * k, 32) for k in range(16))
+    #: probes (first bit, width): the parts of the fingerprint that a tree is built on, here halves of blocks, and their middles
+    probes: tuple[tuple[int, int], ...] = (*((32 * k, 32) for k in range(16)), *((64 * k + 16, 32) for k in range(8)))
     #: most differing bits inside a probe
     radius: int = 2
-    #: most differing bits of the whole fingerprint for a link
-    limit: int = 84
-    #: fingerprints sampled for the tree, and wanted in a shard
+    #: most differing bits for a link, or for a proposal: of the whole fingerprint, or of its last two blocks
+    limit: int = 32
+    #: the similarity that proposed pairs must have
+    similarity: float = 0.8
+    #: partners of each text that a shard proposes, besides one for each two classes
+    nearest: int = 2
+    #: whether repeated shingles count once
+    distinct: bool = True
+    #: fingerprints sampled for the tree at least and at most (sixteen for each shard), and wanted in a shard
     sample: int = 20_000
+    most: int = 262_144
     shard: int = 8_192
     #: a larger shard is compared block by block
     block: int = 32_768
 
 
 #: The contract of the query: one 64-bit fingerprint of 3-word shingles, links at 2 bits.
-CONTRACT = SimHashParams(shingle=3, blocks=1, probes=((0, 64),), radius=2, limit=2)
-#: Five words and a similarity of 0.8: angles of 0.151 pi, 77 of 512 bits on average.
+CONTRACT = SimHashParams(shingle=3, blocks=1, probes=((0, 64),), radius=2, limit=2, distinct=False)
+#: Five words and a similarity of 0.8: angles of 0.151 pi, 19 of 128 bits on average.
 NEAR_DUPLICATES = SimHashParams()
 
 
-def fingerprint(text: bytes | None, shingle: int, blocks: int) -> bytes:
-    """SimHash of a text, ``8 * blocks`` bytes, first block first, big-endian each."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; none for a text without words."""
     words = (text or b"").lower().split()  # bytes.lower() touches A-Z only
     if not words:
-        return bytes(8 * blocks)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     k = min(shingle, len(words))
     last = ends[k - 1 :] - 1
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(last)].tolist(), last.tolist(), strict=True)], np.uint64)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[: len(last)].tolist(), last.tolist(), strict=True)), np.uint64, len(last))
+
+
+def fingerprint(text: bytes | None, shingle: int, blocks: int, distinct: bool = False) -> bytes:
+    """SimHash of a text, ``8 * blocks`` bytes, first block first, big-endian each."""
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return bytes(8 * blocks)
+    if distinct:
+        h = np.unique(h)
     out = []
     for n in range(blocks):
         if n:
@@ -92,11 +115,11 @@ def fingerprint(text: bytes | None, shingle: int, blocks: int) -> bytes:
     return b"".join(out)
 
 
-def simhash(docs: DataFrame, text: str = "text", params: SimHashParams = NEAR_DUPLICATES, column: str = "fingerprint") -> DataFrame:
+def simhash(docs: DataFrame, text: str = "text", params: SimHashParams = CONTRACT, column: str = "fingerprint") -> DataFrame:
     """``docs`` with the binary fingerprint of ``text``. A map, no shuffle."""
 
     def rows(texts: Iterator[bytes | None]) -> Iterator[tuple]:
-        return ((fingerprint(t, params.shingle, params.blocks),) for t in texts)
+        return ((fingerprint(t, params.shingle, params.blocks, params.distinct),) for t in texts)
 
     return map_texts(docs, text, [T.StructField(column, T.BinaryType())], rows)
 
@@ -235,19 +258,77 @@ def link_shard(keys: np.ndarray, words: np.ndarray, radius: int, limit: int, sma
     return _roots(len(keys), np.concatenate(heads), np.concatenate(tails))
 
 
+def _chosen(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, nearest: int) -> np.ndarray:
+    """Which pairs to propose: the nearest of each member, then the nearest between the classes these make."""
+    member, pair = np.concatenate((i, j)), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((pair, d[pair], member))
+    m = member[order]
+    first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
+    rank = np.arange(len(m)) - np.repeat(first, np.diff(np.concatenate((first, [len(m)]))))
+    keep = np.unique(pair[order][rank < nearest])
+    root = _roots(n, i[keep], j[keep])
+    apart = np.flatnonzero(root[i] != root[j])
+    apart = apart[np.argsort(d[apart], kind="stable")]
+    a, b = root[i[apart]], root[j[apart]]
+    _, least = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)
+    return np.concatenate((keep, apart[least]))
+
+
+def propose_pairs(keys: np.ndarray, checks: np.ndarray, radius: int, limit: int, nearest: int, small: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j, distance of the checks) of a shard whose keys are within radius and checks within limit."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    apart = lambda i, j: np.bitwise_count(checks[i] ^ checks[j]).sum(axis=1, dtype=np.int64)
+    stack = [np.arange(len(keys))]
+    while stack:
+        own = stack.pop()
+        cut = _split(keys[own], radius) if len(own) > small else None
+        if cut is not None:
+            d = np.bitwise_count(keys[own] ^ np.uint64(cut[0]))
+            stack += [own[d <= cut[1] + radius], own[d > cut[1]]]
+        elif len(own) <= small:
+            near = np.triu(np.bitwise_count(keys[own][:, None] ^ keys[own][None]) <= radius, 1)
+            i, j = np.nonzero(near)
+            d = apart(own[i], own[j])
+            ok = d <= limit
+            i, j, d = i[ok], j[ok], d[ok]
+            if len(i):
+                c = _chosen(len(own), i, j, d, nearest)
+                out.append((own[i[c]], own[j[c]], d[c]))
+        else:  # a dense region: grow one class after another over what is left, each by its nearest of the front
+            rest = own
+            while len(rest):
+                front, rest = rest[:1], rest[1:]
+                while len(front) and len(rest):
+                    i, j = np.nonzero(np.bitwise_count(keys[front[:64]][:, None] ^ keys[rest][None]) <= radius)
+                    d = apart(front[i], rest[j])
+                    ok = d <= limit
+                    i, j, d = i[ok], j[ok], d[ok]
+                    order = np.argsort(d, kind="stable")
+                    new, first = np.unique(j[order], return_index=True)
+                    c = order[first]
+                    out.append((front[i[c]], rest[new], d[c]))
+                    front = np.concatenate((front[64:], rest[new]))
+                    left = np.ones(len(rest), bool)
+                    left[new] = False
+                    rest = rest[left]
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 # --- components on Spark -----------------------------------------------------------
 
 
-def connected_components(edges: DataFrame, tag: str = "cc", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is its smallest node.
 
     Alternates large-star and small-star; both are a minimum per node with
     partial aggregation and one join, so no neighbourhood is gathered. Each
-    round is written to the shared folder.
+    round is written to the shared folder; rounds grow with the logarithm of the nodes.
     """
     pairs = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
     before = None
-    for _ in range(rounds):
+    while True:
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -259,22 +340,22 @@ def connected_components(edges: DataFrame, tag: str = "cc", rounds: int = 60) ->
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = pairs.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def fingerprint_components(prints: DataFrame, params: SimHashParams) -> DataFrame:
-    """(node, root) for the fingerprints in column ``fp`` (distinct, binary) that have a link."""
-    spark = prints.sparkSession
+def _sharded(prints: DataFrame, params: SimHashParams, fields: str, columns, name: str) -> DataFrame:
+    """Rows (probe, leaf, x, y, ``fields``) of every shard that the balls of the fingerprints in ``fp`` meet.
+
+    ``columns(words, pdf, own, probe)`` makes the fields; blocks of a large
+    shard are dealt by the hash of field ``name``, each pair of blocks (x, y).
+    """
     total = prints.count()
-    if total == 0:
-        return spark.createDataFrame([], "node binary, root binary")
-    sample = _words([bytes(r.fp) for r in bounded_sample(prints, total, params.sample, "fp").collect()])
+    wanted = min(max(params.sample, 16 * -(-total // params.shard)), params.most)
+    sample = _words([bytes(r.fp) for r in bounded_sample(prints, total, wanted, "fp").select("fp").collect()])
     leaves = max(1, min(-(-total // params.shard), max(1, len(sample) // 16)))
     trees = [build_tree(_probe(sample, first, width), params.radius, leaves) for first, width in params.probes]
-    probes, radius, limit = params.probes, params.radius, params.limit
+    probes, radius = params.probes, params.radius
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -283,18 +364,27 @@ def fingerprint_components(prints: DataFrame, params: SimHashParams) -> DataFram
             words = _words(pdf["fp"].tolist())
             for t, (first, width) in enumerate(probes):
                 for leaf, own in place(trees[t], _probe(words, first, width), radius):
-                    yield pd.DataFrame({"probe": np.int32(t), "leaf": np.int32(leaf), "fp": pdf["fp"].to_numpy()[own]})
+                    yield pd.DataFrame({"probe": np.int32(t), "leaf": np.int32(leaf), **columns(words, pdf, own, t)})
 
-    placed = materialize(prints.select("fp").mapInPandas(assign, "probe int, leaf int, fp binary"), "vp-shards")
+    placed = materialize(prints.mapInPandas(assign, f"probe int, leaf int, {fields}"), "vp-shards")
     sizes = placed.groupBy("probe", "leaf").agg(F.ceil(F.count("*") / params.block).cast("int").alias("n"))
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("n")).cast("int")
-    tasks = (
-        placed.join(F.broadcast(sizes), ["probe", "leaf"])  # a row per shard: at most sample / 16 for each probe
+    own = F.pmod(F.xxhash64(name, F.lit(7)), F.col("n")).cast("int")
+    return (
+        placed.join(F.broadcast(sizes), ["probe", "leaf"])  # a row per shard: at most ``most`` / 16 for each probe
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("probe", "leaf", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
+        .select("probe", "leaf", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), *[c for c in placed.columns if c not in ("probe", "leaf")])
     )
 
+
+def fingerprint_components(prints: DataFrame, params: SimHashParams) -> DataFrame:
+    """(node, root) for the fingerprints in column ``fp`` (distinct, binary) that have a link."""
+    spark = prints.sparkSession
+    if prints.isEmpty():
+        return spark.createDataFrame([], "node binary, root binary")
+    probes, radius, limit = params.probes, params.radius, params.limit
+    tasks = _sharded(prints.select("fp"), params, "fp binary", lambda words, pdf, own, t: {"fp": pdf["fp"].to_numpy()[own]}, "fp")
+
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         words = _words(pdf["fp"].tolist())
         first, width = probes[int(pdf["probe"].iloc[0])]
@@ -307,7 +397,7 @@ def fingerprint_components(prints: DataFrame, params: SimHashParams) -> DataFram
     return connected_components(edges, "vp-links")
 
 
-def near_duplicate_components(docs: DataFrame, id: str = "doc_id", text: str = "text", params: SimHashParams = NEAR_DUPLICATES) -> DataFrame:
+def near_duplicate_components(docs: DataFrame, id: str = "doc_id", text: str = "text", params: SimHashParams = CONTRACT) -> DataFrame:
     """A row per document: ``id``, ``fingerprint`` (lowercase hex) and ``component_id``."""
     slim = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = materialize(simhash(slim, "text", params, "fp").select("id", "fp"), "fingerprints")
@@ -318,3 +408,79 @@ def near_duplicate_components(docs: DataFrame, id: str = "doc_id", text: str = "
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(classes, "root").select("fp", "component_id")
     return rows.join(named, "fp", "left").select(F.col("id").alias(id), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def proposed_pairs(prints: DataFrame, params: SimHashParams) -> DataFrame:
+    """Distinct (a, b, d), a < b: pairs of ``node`` proposed by any of the trees over ``fp``, with the distance of their checks."""
+    if prints.isEmpty():
+        return prints.sparkSession.createDataFrame([], "a long, b long, d int")
+
+    def columns(words: np.ndarray, pdf: pd.DataFrame, own: np.ndarray, t: int) -> dict:
+        first, width = params.probes[t]
+        checks = words[own, -2:].view(np.int64)
+        return {"node": pdf["node"].to_numpy()[own], "key": _probe(words[own], first, width).view(np.int64), "c1": checks[:, 0], "c2": checks[:, 1]}
+
+    tasks = _sharded(prints.select("fp", "node"), params, "node long, key long, c1 long, c2 long", columns, "node")
+
+    def propose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")  # so that all trees choose alike
+        checks = np.ascontiguousarray(pdf[["c1", "c2"]].to_numpy(np.int64)).view(np.uint64)
+        i, j, d = propose_pairs(pdf["key"].to_numpy(np.int64).view(np.uint64), checks, params.radius, params.limit, params.nearest)
+        node = pdf["node"].to_numpy()
+        return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "d": d.astype(np.int32)})
+
+    return tasks.groupBy("probe", "leaf", "x", "y").applyInPandas(propose, "a long, b long, d int").distinct()
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, params: SimHashParams) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ``texts`` (node, body) have shingle sets of the wanted Jaccard similarity."""
+    import pyarrow as pa
+
+    one = lambda n: texts.select(F.col("node").alias(n), F.col("body").alias(f"body_{n}"))
+    both = pairs.select("a", "b").join(one("b"), "b").join(one("a"), "a").select("a", "b", "body_a", "body_b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int | None, np.ndarray] = (None, np.zeros(0))
+        for batch in batches:
+            keep = []
+            for a, x, y in zip(*(batch.column(k) for k in (0, 2, 3)), strict=True):
+                if a.as_py() != held[0]:
+                    held = a.as_py(), np.unique(shingle_hashes(x.as_py(), params.shingle))
+                other = np.unique(shingle_hashes(y.as_py(), params.shingle))
+                common = len(np.intersect1d(held[1], other, assume_unique=True))
+                keep.append(common >= params.similarity * (len(held[1]) + len(other) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(check, "a long, b long")
+
+
+def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", params: SimHashParams = NEAR_DUPLICATES) -> DataFrame:
+    """A row per document: ``id`` and ``component_id``, the smallest id of its class.
+
+    Classes are linked by pairs whose sets of ``shingle``-word shingles have a
+    Jaccard similarity of ``similarity`` or more, held exactly against the whole
+    texts; texts of one fingerprint are one class. Null and empty texts are one
+    class; fewer words than a shingle make one shingle; ids may repeat or be null.
+    """
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    slim = docs.select(F.col(f"`{id}`").alias("id"), t.alias("text"), F.xxhash64(t).alias("h"))
+    rows = materialize(simhash(slim, "text", params, "fp").select("id", "h", "fp"), "fingerprints")
+    prints = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min("h").alias("node")), "distinct-fingerprints")
+    pairs = materialize(proposed_pairs(prints, params), "proposed-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    bodies = docs.select(F.xxhash64(t).alias("node"), t.cast("binary").alias("body")).join(ends, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
+    bodies = materialize(bodies, "texts-of-pairs")
+    each = pairs.select("a", "b", "d").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    near = each.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
+    near = materialize(near, "nearest-pairs")
+    sure = materialize(similar_pairs(near, bodies, params), "similar-nearest")
+    label = connected_components(sure, "near-classes")
+    of = lambda n: label.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
+    apart = pairs.select("a", "b").join(near, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    rest = materialize(similar_pairs(apart, bodies, params), "similar-apart")
+    links = connected_components(sure.union(rest), "near-classes")
+    rooted = materialize(prints.join(links, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "roots")
+    classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(classes, "root").select("fp", "component_id")
+    return rows.join(named, "fp", "left").select(F.col("id").alias(id), "component_id")

@@ -407,7 +407,7 @@ def test_simhash_components(docs):
     source = rows(table)
     prints = [brute_print(r["text"]) for r in source]
     want = Counter(zip([r["doc_id"] for r in source], [f"{p:016x}" for p in prints], brute_classes(prints, [r["doc_id"] for r in source], 2), strict=True))
-    for params in (simhash.CONTRACT, simhash.SimHashParams(shingle=3, blocks=1, probes=((0, 64),), radius=2, limit=2, sample=300, shard=16, block=20)):
+    for params in (simhash.CONTRACT, simhash.SimHashParams(shingle=3, blocks=1, probes=((0, 64),), radius=2, limit=2, distinct=False, sample=300, shard=16, block=20)):
         out = rows(simhash.near_duplicate_components(clash(table), params=params))
         assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in out) == want
     assert rows(simhash.near_duplicate_components(empty(docs))) == []
@@ -434,18 +434,66 @@ def test_link_shard_equals_all_pairs():
     assert all(homes[i] & homes[j] for i, j in zip(*np.nonzero(near), strict=True))
 
 
-def test_near_duplicates_of_five_words(spark):
+def similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (words(lower(a)), words(lower(b)))]
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def test_near_duplicates_of_five_words_by_band(spark):
+    """1,050 pairs of similarity 0.7 to 1: linked if and, in each band, in 95 of 100 cases, where they have 0.8 or more."""
     rng = random.Random(8)
-    vocabulary = ["w%d" % i for i in range(3000)]
-    base = [[rng.choice(vocabulary) for _ in range(300)] for _ in range(60)]
-    table = []
-    for i, w in enumerate(base):
-        table.append((i, " ".join(w)))
-        table.append((100 + i, " ".join(w[:150] + ["changed"] + w[151:])))  # similarity 0.97
-    out = rows(simhash.near_duplicate_components(spark.createDataFrame(table, "doc_id long, text string")))
-    caught = sum(r["component_id"] == r["doc_id"] - 100 for r in out if r["doc_id"] >= 100)
-    assert caught >= 58
-    assert all(r["component_id"] % 100 == r["doc_id"] % 100 for r in out)
+    table, pairs = [], []
+    for i in range(1050):
+        n = rng.choice((60, 150, 300))
+        w = [f"w{rng.randint(0, 30000)}" for _ in range(n)]
+        wanted = 0.7 + 0.3 * i / 1050
+        v = list(w)
+        while True:
+            at = rng.randrange(n)
+            was, v[at] = v[at], f"n{rng.randint(0, 30000)}"
+            if similarity(" ".join(w), " ".join(v)) < wanted:
+                v[at] = was
+                break
+        pairs.append((i, similarity(" ".join(w), " ".join(v))))
+        table += [(i, " ".join(w)), (10_000 + i, " ".join(v).title())]
+    out = {r["doc_id"]: r["component_id"] for r in rows(simhash.similar_classes(spark.createDataFrame(table, "doc_id long, text string").repartition(4)))}
+    band = {}
+    for i, s in pairs:
+        linked = out[10_000 + i] == i
+        assert out[i] == i and (linked or out[10_000 + i] == 10_000 + i)
+        assert s >= 0.8 or not linked
+        if s >= 0.8:
+            band.setdefault(min(int(s * 20), 19), []).append(linked)
+    assert all(sum(x) >= 0.95 * len(x) for x in band.values()), {k: (sum(x), len(x)) for k, x in band.items()}
+    print({k / 20: (sum(x), len(x)) for k, x in sorted(band.items())})
+
+
+def test_similar_classes_of_awkward_rows(docs):
+    """Classes equal single linkage of exact similarities over all pairs of different texts."""
+    spark = docs.sparkSession
+    rng = random.Random(18)
+    base = [f"g{rng.randint(0, 9999)}" for _ in range(200)]
+    group = []
+    for k in range(700):  # one group of near copies, larger than a block of all pairs
+        v = list(base)
+        for _ in range(2):
+            v[rng.randrange(200)] = f"x{rng.randint(0, 9999)}"
+        group.append((7000 + k, " ".join(v), None, None, None))
+    table = clash(docs.unionByName(spark.createDataFrame(group, SCHEMA)))
+    out = simhash.similar_classes(table).collect()
+    source = {r["doc_id"]: r["text"] for r in rows(table) if r["doc_id"] is not None and r["doc_id"] != 3}
+    of = {r.doc_id: r.component_id for r in out if r.doc_id is not None and r.doc_id != 3}
+    assert len(out) == table.count() and {of[7000 + k] for k in range(700)} == {7000}
+    few = {i: t for i, t in source.items() if i < 7000}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := words(lower(t))) else set() for i, t in few.items()}
+    root = {i: i for i in few}
+    for i in sorted(few):
+        for j in sorted(few):
+            if j < i and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    assert {i: of[i] for i in few} == root
+    assert simhash.similar_classes(empty(table)).collect() == []
 
 
 def test_connected_components_of_a_chain_and_a_star(spark):
