@@ -277,6 +277,7 @@ def _chosen(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, nearest: int) -
 def propose_pairs(keys: np.ndarray, checks: np.ndarray, radius: int, limit: int, nearest: int, small: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j, distance of the checks) of a shard whose keys are within radius and checks within limit."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    narrow = keys.astype(np.uint32) if len(keys) and keys.max() < 2**32 else keys
     apart = lambda i, j: np.bitwise_count(checks[i] ^ checks[j]).sum(axis=1, dtype=np.int64)
     stack = [np.arange(len(keys))]
     while stack:
@@ -286,8 +287,10 @@ def propose_pairs(keys: np.ndarray, checks: np.ndarray, radius: int, limit: int,
             d = np.bitwise_count(keys[own] ^ np.uint64(cut[0]))
             stack += [own[d <= cut[1] + radius], own[d > cut[1]]]
         elif len(own) <= small:
-            near = np.triu(np.bitwise_count(keys[own][:, None] ^ keys[own][None]) <= radius, 1)
-            i, j = np.nonzero(near)
+            part = narrow[own]
+            flat = np.flatnonzero(np.bitwise_count(part[:, None] ^ part[None]) <= radius)
+            i, j = np.divmod(flat, len(own))
+            i, j = i[i < j], j[i < j]
             d = apart(own[i], own[j])
             ok = d <= limit
             i, j, d = i[ok], j[ok], d[ok]
@@ -369,11 +372,13 @@ def _sharded(prints: DataFrame, params: SimHashParams, fields: str, columns, nam
     placed = materialize(prints.mapInPandas(assign, f"probe int, leaf int, {fields}"), "vp-shards")
     sizes = placed.groupBy("probe", "leaf").agg(F.ceil(F.count("*") / params.block).cast("int").alias("n"))
     own = F.pmod(F.xxhash64(name, F.lit(7)), F.col("n")).cast("int")
+    parts = min(leaves * len(trees), 20_000)  # the work grows with the square of a shard's rows, so small shards aren't put together
     return (
         placed.join(F.broadcast(sizes), ["probe", "leaf"])  # a row per shard: at most ``most`` / 16 for each probe
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .select("probe", "leaf", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), *[c for c in placed.columns if c not in ("probe", "leaf")])
+        .repartition(parts, "probe", "leaf", "x", "y")
     )
 
 
