@@ -1,7 +1,9 @@
 """Operator 1, sharding by histogram sort.
 
-Rows are put in the order of (hash of the text, id), so equal texts lie side by
-side, and cut into shards of nearly equal bytes. The cuts are found without
+Rows are put in the order of (hash of the text, hash of the id), so equal texts
+lie side by side, and cut into shards of nearly equal bytes. The last bits of the
+key differ between rows that are equal in both, so any number of those, also
+without ids, can be cut. The cuts are found without
 sorting: each round counts the exact bytes and rows between candidate key
 boundaries in every partition, sums the counts, and places new candidates
 inside the bins that hold an unmet cut, until each cut is within tolerance or
@@ -12,12 +14,12 @@ hot group must be. All boundaries ever counted stay in the plan with the exact
 rows below them, so slots are numbered bin by bin and no shard is sorted by one
 task.
 
-What reaches the driver is one row per bin, (shards - 1) * probes at most a
-round, whatever the input.
+What reaches the driver is one row per bin: ``MOST_PROBES`` at most in the first
+round, (shards - 1) * probes in the others, whatever the input.
 
 Defined cases: null texts have size 8, checksum 0 and sort as empty ones; null
-ids sort first; rows that are equal in text and id take neighbouring slots in
-any order; fewer rows than shards leave shards empty; an empty table gives an
+ids are one id; rows that are equal in text and id take neighbouring slots in
+any order; a text longer than a shard fills one alone and makes it larger; fewer rows than shards leave shards empty; an empty table gives an
 empty table; columns named like results are replaced.
 """
 
@@ -29,13 +31,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, text_crc32, utf8_bytes
 
 _LOW = -(2**63)
+#: Candidate boundaries of the first round.
+MOST_PROBES = 65_536
+#: Bits of the key that tell rows of equal text and id apart.
+_SALT = 20
 Key = tuple[int, int]
 
 
@@ -102,7 +108,7 @@ def plan_shards(rows: DataFrame, shards: int, tolerance: float = 0.005, probes:
     rounds = 0
     while spans:
         rounds += 1
-        bounds = sorted(set().union(*(_between(s[4], s[5], probes * (shards - 1 if rounds == 1 else 1)) for s in set(spans.values()))))
+        bounds = sorted(set().union(*(_between(s[4], s[5], max(probes, min(probes * (shards - 1), MOST_PROBES)) if rounds == 1 else probes) for s in set(spans.values()))))
         # rows outside the open spans are counted too; their totals are known and serve as a check
         found = _count(rows, bounds)
         below, under, edges = 0, 0, [(0, 0, 0)]
@@ -141,8 +147,8 @@ def plan_shards(rows: DataFrame, shards: int, tolerance: float = 0.005, probes:
     return ShardPlan(*(np.array([k[i] for k in bounds], np.int64) for i in (0, 1)), shard, base, rounds)
 
 
-def assign_shards(rows: DataFrame, plan: ShardPlan) -> DataFrame:
-    """``rows`` with shard and slot; the one exchange."""
+def assign_shards(rows: DataFrame, plan: ShardPlan, key: tuple[str, str] = ("k1", "k2")) -> DataFrame:
+    """``rows``, with the columns ``key``, and their shard and slot; the one exchange."""
     kept = [f for f in rows.schema.fields if f.name not in ("shard", "slot")]
     schema = T.StructType([*kept, T.StructField("__bin", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("__base", T.LongType())])
     first, second, shard, base = plan.first, plan.second, plan.shard, plan.base
@@ -151,30 +157,37 @@ def assign_shards(rows: DataFrame, plan: ShardPlan) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            b = bins(first, second, *(batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in ("k1", "k2")))
+            b = bins(first, second, *(batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in key))
             new = [pa.array(b, pa.int64()), pa.array(shard[b], pa.int32()), pa.array(base[b], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[f.name for f in schema.fields])
 
     placed = rows.select(*[f"`{f.name}`" for f in kept]).mapInArrow(place, schema)
-    order = Window.partitionBy("__bin").orderBy("k1", "k2")
+    order = Window.partitionBy("__bin").orderBy(*key)
     return placed.withColumn("slot", F.col("__base") + F.row_number().over(order) - 1).drop("__bin", "__base")
 
 
-def shard_key(text, id) -> list:
-    """Key columns k1 (hash of the text) and k2 (id) of a row."""
-    return [F.xxhash64(F.coalesce(text, F.lit(""))).alias("k1"), F.coalesce(id.cast("long"), F.lit(_LOW)).alias("k2")]
+def salted(key: Column, salt: Column) -> Column:
+    """``key`` with its last bits replaced by those of ``salt``, both hashes."""
+    mask = (1 << _SALT) - 1
+    return key.bitwiseAND(F.lit(~mask)).bitwiseOR(salt.bitwiseAND(F.lit(mask)))
+
+
+def shard_key(text: Column, id: Column) -> list[Column]:
+    """Key columns k1 (hash of the text) and k2 (hash of the id, its end the row's own) of a row."""
+    own = F.xxhash64(F.monotonically_increasing_id(), F.lit(1))
+    return [F.xxhash64(F.coalesce(text, F.lit(""))).alias("k1"), salted(F.xxhash64(id, F.lit(2)), own).alias("k2")]
 
 
 def shard_documents(docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text", keep_text: bool = True, tolerance: float = 0.005) -> DataFrame:
-    """``docs`` with size, text_crc32, shard and slot; without the text if not wanted.
+    """``docs`` with size, text_crc32, shard and slot; only with the id and without the text if not wanted.
 
-    The keys are written to the shared folder once, as every round reads them.
+    The keys, and with them the rows that are wanted, are written to the shared
+    folder once, as every round reads them and the keys of equal rows are drawn.
     """
     t, i = F.col(f"`{text}`"), F.col(f"`{id}`")
-    size = (utf8_bytes(t) + 8).alias("size")
-    if not keep_text:
-        rows = materialize(docs.select(i.alias(id), size, text_crc32(t).alias("text_crc32"), *shard_key(t, i)), "shard-keys")
-        return assign_shards(rows, plan_shards(rows, shards, tolerance)).drop("k1", "k2")
-    keys = materialize(docs.select(size, *shard_key(t, i)), "shard-keys")
-    named = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot", "k1", "k2")]
-    return assign_shards(docs.select(*named, size, text_crc32(t).alias("text_crc32"), *shard_key(t, i)), plan_shards(keys, shards, tolerance)).drop("k1", "k2")
+    made = [(utf8_bytes(t) + 8).alias("size"), text_crc32(t).alias("text_crc32"), F.struct(*shard_key(t, i)).alias("__key")]
+    named = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot", "__key")] if keep_text else [i.alias(id)]
+    rows = materialize(docs.select(*named, *made), "shard-keys")
+    plan = plan_shards(rows.select("__key.k1", "__key.k2", "size"), shards, tolerance)
+    placed = assign_shards(rows.select(F.col("__key.k1").alias("__k1"), F.col("__key.k2").alias("__k2"), *[F.col(f"`{c}`") for c in rows.columns if c != "__key"]), plan, ("__k1", "__k2"))
+    return placed.drop("__k1", "__k2")

@@ -75,7 +75,24 @@ def test_sharding_hot_group(spark):
         sizes[r["shard"]] += r["size"]
     assert len(out) == 3000 and max(sizes.values()) - min(sizes.values()) < 0.05 * sum(sizes.values()) / 8
     one = same.select(F.lit(1).alias("doc_id"), F.lit("copy").alias("text"))
-    assert sorted(r["slot"] for r in rows(sharding.shard_documents(one, 4))) == list(range(3000))
+    parts = {}
+    for r in rows(sharding.shard_documents(one, 4)):
+        parts.setdefault(r["shard"], []).append(r["slot"])
+    assert len(parts) == 4 and all(sorted(x) == list(range(len(x))) and abs(len(x) - 750) <= 8 for x in parts.values())  # one row, 3,000 times
+
+
+def test_sharding_hot_null_ids(spark):
+    """A third of the rows is one text without an id: shards stay equal, slots gapless."""
+    df = spark.range(6000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("copy")).otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text")).withColumns({"k1": F.lit(1), "k2": F.lit("x")})
+    for keep in (True, False):
+        out = rows(sharding.shard_documents(df, 8, keep_text=keep))
+        sizes, slots = Counter(), {}
+        for r in out:
+            sizes[r["shard"]] += r["size"]
+            slots.setdefault(r["shard"], []).append(r["slot"])
+        assert len(out) == 6000 and len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / 8
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+        assert not keep or {r["k2"] for r in out} == {"x"}
 
 
 def test_sharding_empty_and_clashing(docs):
@@ -144,6 +161,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert len(again) > 3 and sorted(map(str, again)) == sorted(str(r.asDict()) for r in first)
     assert sorted(p.name for p in (tmp_path / "b").glob("*.gz")) == sorted(r["file"] for r in again)
     assert rows(warc.archive_and_read(empty(df), str(tmp_path / "c"))) == []
+    import gzip
+
+    plain = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "a").glob("*.gz")))
+    ids, refers = (set(re.findall(rb"\r\n" + h + rb": (<urn:uuid:[^>]*>)", plain)) for h in (b"WARC-Record-ID", b"WARC-Refers-To"))
+    assert refers and refers <= ids  # revisits name records that exist
+    options["shard_bytes"] = 80_000
+    many = rows(warc.write_warc(df, str(tmp_path / "d"), **options))
+    sizes = Counter()
+    for r in many:
+        sizes[r["shard"]] += r["records"]
+    assert len(sizes) > 9 and rows(warc.read_warc(spark, str(tmp_path / "d")).groupBy().count()) == [{"count": len(pages)}]
+    hot = spark.createDataFrame([(None, f"u{i}", "y" * 1500) for i in range(600)], "page_id long, url string, html string")
+    spread = rows(warc.write_warc(hot, str(tmp_path / "e"), shard_bytes=100_000))
+    assert len({r["shard"] for r in spread}) == 13 and max(r["records"] for r in spread) < 100
 
 
 # 4 ------------------------------------------------------------------------------------
