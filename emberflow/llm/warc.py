@@ -2,23 +2,29 @@
 
 Records are put in order of their id by an exact range sort (the splitters of
 the sharding operator, by payload bytes), so shards do not depend on how the
-input happened to be partitioned. Each shard writes its records one by one into
-files that roll at a compressed size. Headers are made anew from the record:
-record ids and digests derive from the content, the date is a parameter, so a
-second attempt writes the same bytes. A file appears under a temporary name of
-its attempt and is renamed when complete; the manifest, committed by Spark,
-names the files that count, with sizes and checksums.
+input happened to be partitioned; rows of one id are cut by payload and url.
+Each shard is one task, which writes its records one by one into files that roll
+at a compressed size. Above ``most_shards`` shards become larger, not the list of
+splitters: a task streams its shard, whatever the size. Headers are made anew
+from the record: record ids and digests derive from the content, the date is a
+parameter, so a second attempt writes the same bytes. A file appears under a
+temporary name of its attempt and is renamed when complete, after a file that an
+earlier attempt left under this name is removed; the manifest, committed by
+Spark, names the files that count, with sizes and checksums.
 
 Of records with equal payloads of ``revisit_bytes`` or more, that with the
 largest id is the response and the others are revisits of it.
 
 Payloads are exchanged once; what a revisit refers to is sent beside them by the
-same order. The writer holds one record and one open file, the reader one record.
+same order. The writer holds one Arrow batch, which Spark bounds in bytes and
+rows, and turns one record at a time into Python; the reader holds one record
+and up to 8 MB of those before it.
 
 Defined cases: a null payload is empty; a null url has no target line; null ids
 sort first and never count as the largest unless all are null; rows of one id
-and one payload are all responses if they hold the largest id; an empty table
-gives a manifest without files; extra columns are ignored.
+and one payload are all responses if they hold the largest id, with equal record
+ids if their urls are equal too; a very long payload is one record, whole; an
+empty table gives a manifest without files; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_folder
-from .sharding import bins, plan_shards
+from .sharding import bins, plan_shards, salted
 
 _LOW = -(2**63)
 _SPACE_OF_IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the published namespace of URLs
@@ -58,27 +64,33 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def record_id(page: int | None, url: str | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE_OF_IDS, f'{page} {url}')}>"
+def record_id(page: int | None, url: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE_OF_IDS, f'{page} {url} {digest}')}>"
 
 
 def _sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def make_record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
+def _uri(url: str) -> str:
+    return quote(url, safe="%/:=&?~#+!$,;'@()*[]-._")
+
+
+def make_record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str, target: str | None = None) -> bytes:
     """One record as a gzip member."""
     block = _HTTP + f"Content-Length: {len(payload)}\r\n\r\n".encode() + (b"" if revisit else payload)
-    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page, url)), ("WARC-Date", date)]
+    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page, url, _sha1(payload))), ("WARC-Date", date)]
     if url is not None:
-        head.append(("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]-._")))
+        head.append(("WARC-Target-URI", _uri(url)))
     head += [("WARC-Payload-Digest", _sha1(payload)), ("WARC-Block-Digest", _sha1(block)), ("Content-Type", "application/http; msgtype=response")]
     if page is not None:
         head.append(("X-Page-ID", str(page)))
     if revisit:
         head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Payload-Length", str(len(payload)))]
         if refers_to is not None:
-            head.append(("X-Refers-To-Page-ID", str(refers_to)))
+            head += [("WARC-Refers-To", record_id(refers_to, target, _sha1(payload))), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page-ID", str(refers_to))]
+            if target is not None:
+                head.append(("WARC-Refers-To-Target-URI", _uri(target)))
     head.append(("Content-Length", str(len(block))))
     data = "WARC/1.1\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)  # gzip without time or name
@@ -115,11 +127,15 @@ class _Roll:
 
     def close(self) -> tuple:
         self.out.close()
+        from pyarrow import fs
+
+        if self.store.get_file_info(self.final).type != fs.FileType.NotFound:  # of an attempt that was lost; the bytes are the same
+            self.store.delete_file(self.final)
         self.store.move(self.temporary, self.final)
         return (self.shard, self.seq, self.name, self.records, self.bytes, self.sum.hexdigest())
 
 
-def write_warc(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", payload: str = "html", revisit_bytes: int = 1000, shard_bytes: int = 32 << 20, roll_bytes: int = 8 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", payload: str = "html", revisit_bytes: int = 1000, shard_bytes: int = 32 << 20, roll_bytes: int = 8 << 20, most_shards: int = 8192, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write the archives and their manifest below ``folder``; returns the manifest.
 
     ``shard_bytes``: payload of a shard, so of a task. ``roll_bytes``: compressed
@@ -129,37 +145,42 @@ def write_warc(pages: DataFrame, folder: str, id: str = "page_id", url: str = "u
     base = qualified(spark, folder)
     body = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b""))
     key = F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_LOW))
+    link = F.col(f"`{url}`").cast("string")
+    # rows of one id follow each other by payload; the url's hash, in the last bits, lets them be cut
+    second = salted(F.xxhash64(body), F.xxhash64(link))
     size = (F.octet_length(body) + 512).cast("long")
-    meta = materialize(pages.select(F.col(f"`{id}`").cast("long").alias("id"), F.sha1(body).alias("digest"), size.alias("size"), key.alias("k1"), F.xxhash64(body).alias("k2")), "warc-meta")
+    meta = materialize(pages.select(F.col(f"`{id}`").cast("long").alias("id"), link.alias("url"), F.sha1(body).alias("digest"), size.alias("size"), key.alias("k1"), second.alias("k2")), "warc-meta")
     total = meta.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    shards = max(1, min(-(-total // shard_bytes), most_shards))
     plan = plan_shards(meta, shards, 0.01)
-    first, second, shard_of = plan.first, plan.second, plan.shard
+    edges, ends, shard_of = plan.first, plan.second, plan.shard
 
     @F.pandas_udf("int")
     def shard(k1: pd.Series, k2: pd.Series) -> pd.Series:
-        return pd.Series(shard_of[bins(first, second, k1.to_numpy(), k2.to_numpy())].astype("int32"))
+        return pd.Series(shard_of[bins(edges, ends, k1.to_numpy(), k2.to_numpy())].astype("int32"))
 
     large = meta.where(F.col("size") >= revisit_bytes + 512)
     # the largest id of each payload that occurs more than once; partial aggregation takes up hot payloads
-    heads = large.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
-    again = large.join(heads, "digest").where("id IS NULL OR id <> refers_to").select("k1", "k2", "digest", "refers_to").distinct()
+    heads = large.groupBy("digest").agg(F.max("id").alias("refers_to"), F.max_by(F.struct("url"), F.struct("id", "url")).alias("target"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
+    heads = materialize(heads, "warc-heads")  # right above their exchange, so that Spark can split a hot payload
+    again = large.join(heads, "digest").where("id IS NULL OR id <> refers_to").select("k1", "k2", "digest", "refers_to", F.col("target.url").alias("target")).distinct()
     nothing = lambda kind: F.lit(None).cast(kind)
-    notes = again.select("k1", "k2", "digest", F.lit(0).alias("kind"), nothing("long").alias("id"), nothing("string").alias("url"), nothing("binary").alias("payload"), "refers_to")
-    rows = pages.select(key.alias("k1"), F.xxhash64(body).alias("k2"), F.sha1(body).alias("digest"), F.lit(1).alias("kind"), F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("payload"), nothing("long").alias("refers_to"))
+    notes = again.select("k1", "k2", "digest", F.lit(0).alias("kind"), nothing("long").alias("id"), F.col("target").alias("url"), nothing("binary").alias("payload"), "refers_to")
+    rows = pages.select(key.alias("k1"), second.alias("k2"), F.sha1(body).alias("digest"), F.lit(1).alias("kind"), F.col(f"`{id}`").cast("long").alias("id"), link.alias("url"), body.alias("payload"), nothing("long").alias("refers_to"))
     both = notes.unionByName(rows).withColumn("shard", shard("k1", "k2"))
-    ordered = both.repartition(int(shards), "shard").sortWithinPartitions("shard", "k1", "k2", "digest", "kind", "url")
+    ordered = both.repartitionById(int(shards), F.col("shard")).sortWithinPartitions("shard", "k1", "k2", "digest", "kind", "url")
 
     def write(batches: Iterator) -> Iterator[pd.DataFrame]:
         store, root = _store(base)
         store.create_dir(root, recursive=True)
         file: _Roll | None = None
         done: list[tuple] = []
-        note: tuple = (None, None, None)
+        note: tuple = (None, None, None, None)
         for batch in batches:
-            for r in batch.to_pylist():
+            for at in range(batch.num_rows):
+                (r,) = batch.slice(at, 1).to_pylist()
                 if r["kind"] == 0:
-                    note = (r["k1"], r["digest"], r["refers_to"])
+                    note = (r["k1"], r["digest"], r["refers_to"], r["url"])
                     continue
                 revisit = note[:2] == (r["k1"], r["digest"])
                 if file is not None and (file.shard != r["shard"] or file.bytes >= roll_bytes):
@@ -167,7 +188,7 @@ def write_warc(pages: DataFrame, folder: str, id: str = "page_id", url: str = "u
                     file = _Roll(store, root, r["shard"], file.seq + 1 if file.shard == r["shard"] else 0)
                 if file is None:
                     file = _Roll(store, root, r["shard"], 0)
-                file.add(make_record(r["id"], r["url"], r["payload"], note[2] if revisit else None, revisit, date))
+                file.add(make_record(r["id"], r["url"], r["payload"], note[2] if revisit else None, revisit, date, note[3]))
         if file is not None:
             done.append(file.close())
         names = [c.split(" ")[0] for c in MANIFEST.split(", ")]
@@ -220,7 +241,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return files.select("file").repartition(n, "file").mapInArrow(read, RECORD)
+    return files.select("file").repartition(n).mapInArrow(read, RECORD)
 
 
 def _row(data: bytes) -> dict:
