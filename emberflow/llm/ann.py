@@ -5,7 +5,9 @@ size that keep most edges inside. A small classifier learns which partition a
 vector lies in. It files every row of the table under its most probable
 partition and routes a query to the several most probable ones, whose rows are
 reranked by exact distance. How many is calibrated: the fewest that find
-``recall`` of the true neighbours of held-out sample vectors.
+``recall`` of the true neighbours of held-out sample vectors. Partitions grow in
+number with the rows, as far as the bounded sample supports them; beyond, they
+grow in size.
 
 Partitions are dealt to tasks in blocks of ``block`` rows, so a partition that
 holds a third of all rows is many tasks. A block returns the k best for each
@@ -13,8 +15,11 @@ query; ranks are taken over those with Spark's partial rank limit.
 
 Defined cases: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part; ties go to the smaller id;
-rows with the query's id are not candidates; repeated query rows count once;
-fewer than k candidates are all returned; an empty table gives an empty table.
+rows with the query's id are not candidates, nor are rows without an id; repeated query rows count once;
+fewer than k candidates are all returned; components whose squares overflow
+double precision have distance infinity and are not returned; columns other than
+id and vector are ignored, whatever their names; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -34,14 +39,15 @@ from .common import bounded_sample, materialize
 @dataclass(frozen=True)
 class AnnParams:
     k: int = 10
-    #: most vectors in the sample for graph, partitions and classifier
-    sample: int = 6_000
-    #: rows for each partition wanted, and most partitions
+    #: vectors in the sample for graph, partitions and classifier, at most, and for each partition at least
+    sample: int = 24_000
+    per_part: int = 96
+    #: rows of a partition that are wanted, and partitions at least
     rows: int = 1_024
-    partitions: int = 96
+    partitions: int = 16
     neighbours: int = 10
     hidden: int = 64
-    recall: float = 0.96
+    recall: float = 0.92
     #: rows and queries of one task
     block: int = 16_384
     seed: int = 42
@@ -157,12 +163,17 @@ def train_router(x: np.ndarray, label: np.ndarray, parts: int, hidden: int, rng:
     return Router(mean, scale, *w, 1)
 
 
+def wanted_parts(total: int, params: AnnParams) -> int:
+    return min(max(total // params.rows, params.partitions), params.sample // params.per_part)
+
+
 def fit_router(sample: np.ndarray, total: int, params: AnnParams) -> Router:
     """Graph, partitions, classifier and the calibrated number of probes."""
     rng = np.random.default_rng(params.seed)
     x = np.unique(sample, axis=0)
     x = x[rng.permutation(len(x))]
-    parts = int(max(1, min(total // params.rows, params.partitions, len(x) // 48)))
+    parts = wanted_parts(total, params)
+    parts = int(max(1, min(parts, len(x) // 24)))
     if parts == 1:
         return Router(x.mean(axis=0), 1.0, np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     held, base = x[: len(x) // 8], x[len(x) // 8 :]
@@ -206,14 +217,15 @@ def search(rows: DataFrame, queries: DataFrame, id: str = "vec_id", vector: str
     spark = rows.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     own = lambda df: df.select(F.col(f"`{id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vec")).where(valid(F.col("vec")))
-    points, asked = own(rows), own(queries).where("vec_id IS NOT NULL")
+    points, asked = own(rows).where("vec_id IS NOT NULL"), own(queries).where("vec_id IS NOT NULL")
     widths = points.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not widths:
         return empty
     same = F.size("vec") == widths[0]["n"]
     total = widths[0]["count"]
     points, asked = points.where(same), asked.where(same)
-    sample = bounded_sample(points, total, params.sample, "vec_id", "vec").select("vec").toPandas()
+    wanted = min(params.sample, max(4_000, params.per_part * wanted_parts(total, params)))
+    sample = bounded_sample(points, total, wanted, "vec_id", "vec").select("vec").toPandas()
     router = fit_router(np.stack(sample["vec"].to_list()), total, params)
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
