@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 
 def u64_mod(x: Column, n: Column | int) -> Column:
@@ -74,14 +75,17 @@ def shard_of(x: Column, shards: int) -> Column:
     return u64_mod(farmhash64(x), shards).cast("int")
 
 
-@pandas_udf(T.ArrayType(T.LongType()))
-def hash_stack(x: pd.Series, rounds: pd.Series, size: pd.Series) -> pd.Series:
+@arrow_udf(T.ArrayType(T.LongType()))
+def hash_stack(x: pa.Array, rounds: pa.Array, size: pa.Array) -> pa.Array:
     """Buckets of a key, one a round; the key itself where rounds is 0."""
-    keys, n, m = x.to_numpy(np.int64), rounds.to_numpy(), size.to_numpy(np.int64)
-    out = [[int(k)] if r == 0 else [] for k, r in zip(keys, n, strict=True)]
+    keys, n, m = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (x, rounds, size))
+    most = int(n.max(initial=0))
+    out = np.repeat(keys[:, None], max(most, 1), axis=1)
     h = keys
-    for r in range(int(n.max()) if len(n) else 0):
+    for r in range(most):
         h = farmhash64_np(h).view(np.int64)
-        for i in np.flatnonzero(n > r):
-            out[i].append(int(h[i : i + 1].view(np.uint64)[0] % np.uint64(m[i])) + r * int(m[i]))
-    return pd.Series(out)
+        has = n > r
+        out[has, r] = (h[has].view(np.uint64) % m[has].astype(np.uint64)).astype(np.int64) + r * m[has]
+    width = np.maximum(n, 1)
+    ends = np.concatenate(([0], np.cumsum(width))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(out[np.arange(out.shape[1]) < width[:, None]]))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 #: Largest finite half-precision value.
 HALF_MAX = 65504.0
@@ -44,11 +44,15 @@ def widen_half(v: Column) -> Column:
     return clamped(v, HALF_MAX)
 
 
-@pandas_udf(T.ArrayType(T.FloatType()))
-def half_rounded(v: pd.Series) -> pd.Series:
+@arrow_udf(T.ArrayType(T.FloatType()))
+def half_rounded(v: pa.Array) -> pa.Array:
     """Round through half precision; null stays null."""
+    flat = v.flatten()
     with np.errstate(over="ignore"):
-        return v.map(lambda x: None if x is None else np.asarray(x, np.float32).astype(np.float16).astype(np.float32))
+        half = pa.array(flat.to_numpy(zero_copy_only=False).astype(np.float32).astype(np.float16).astype(np.float32), mask=flat.is_null().to_numpy(zero_copy_only=False))
+    size = np.where(v.is_valid().to_numpy(zero_copy_only=False), v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), half, mask=v.is_null())
 
 
 def zeros(dim: int) -> Column:

@@ -5,26 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import below, ranged
 
-def auc(scored: DataFrame, score: str, label: str, buckets: int = 1024) -> DataFrame:
+
+def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     """Exact area under the ROC curve, ties at half, as one row ``auc``.
 
-    Scores are counted, then accumulated within value buckets and over the
-    buckets' totals, so only the small table of totals meets in one task.
+    Rows are counted by score, the scores dealt into ranges of nearly equal
+    numbers, accumulated within these and shifted by the totals of the ranges
+    before, so scores that gather in one place make no large task.
     """
     s, y = F.col(score).cast("double"), F.col(label).cast("int")
-    per = scored.groupBy(s.alias("s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
-    ends = per.agg(F.min("s"), F.max("s")).first()
-    low, high = (ends[0] or 0.0), (ends[1] or 0.0)
-    width = (high - low) / buckets or 1.0
-    per = per.withColumn("b", F.least(F.floor((F.col("s") - low) / width), F.lit(buckets - 1)).cast("int"))
-    totals = per.groupBy("b").agg(F.sum("n").alias("bn"))  # at most ``buckets`` rows
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("b", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("below"))
-    inner = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    rows = per.withColumn("under", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(F.broadcast(totals), "b")
-    wins = F.sum(F.col("p") * (F.col("below") + F.col("under") + F.col("n") / 2))
-    return rows.agg((wins / (F.sum("p").cast("double") * F.sum("n"))).alias("auc"))
+    per = ranged(scored.groupBy(s.alias("s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n")), "s")
+    totals = {r["__range"]: r["n"] for r in per.groupBy("__range").agg(F.sum("n").alias("n")).collect()}  # a row per range
+    inner = Window.partitionBy("__range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    under = below(totals) + F.coalesce(F.sum("n").over(inner), F.lit(0))
+    wins = F.sum(F.col("p") * (F.col("under") + F.col("n") / 2))
+    return per.withColumn("under", under).agg((wins / (F.sum("p").cast("double") * F.sum("n"))).alias("auc"))
 
 
 def batch_accuracy(scored: DataFrame, score: str, label: str) -> DataFrame:

@@ -2,36 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
 
-def numbered(df: DataFrame, key: str, out: str = "n", buckets: int = 64) -> DataFrame:
-    """``df`` with the 0-based position of each row in the order of ``key`` (unique, numeric).
 
-    Rows are numbered within value ranges in parallel and shifted by the counts
-    of the ranges before; no task sorts the whole table.
+def ranged(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt into ranges of ``keys``, in order, with ``__range`` and ``__at``, the place in the range.
+
+    One exchange into as many ranges of nearly equal rows as the session shuffles
+    into, by Spark's own sample of the keys; the result is written, as a second
+    evaluation might draw other ranges.
+    """
+    row = F.monotonically_increasing_id()
+    made = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__row", row)
+    made = made.withColumns({"__range": F.shiftright("__row", 33).cast("int"), "__at": F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__row")
+    path = scratch(df.sparkSession, "ranges")
+    made.write.parquet(path)
+    return df.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def below(sizes: dict[int, int]) -> Column:
+    """What stands before each range, by ``__range``; ``sizes`` has one entry a range."""
+    out, total = [], 0
+    for i in range(max(sizes, default=-1) + 1):
+        out.append(total)
+        total += sizes.get(i, 0)
+    return F.get(F.array(*[F.lit(x).cast("long") for x in out or [0]]), F.col("__range"))
+
+
+def numbered(df: DataFrame, key: str, out: str = "n") -> DataFrame:
+    """``df`` with the 0-based position of each row in the order of ``key`` (unique).
+
+    Rows are numbered within ranges in parallel and shifted by the counts of the
+    ranges before; no task sorts the whole table.
     """
-    bounds = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.001)))
-    at = F.lit(0)
-    for b in bounds:  # at most buckets - 1
-        at = at + (F.col(key) >= b).cast("int")
-    ranged = df.withColumn("__range", at)
-    counts = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}  # a row per range
-    below, start = 0, []
-    for i in range(len(bounds) + 1):
-        start.append(below)
-        below += counts.get(i, 0)
-    offset = F.get(F.array(*[F.lit(x).cast("long") for x in start]), F.col("__range"))
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy(key))
-    return ranged.withColumn(out, offset + rank - 1).drop("__range")
+    rows = ranged(df, key)
+    sizes = {r["__range"]: r["n"] for r in rows.groupBy("__range").agg(F.count("*").alias("n")).collect()}  # a row per range
+    return rows.withColumn(out, below(sizes) + F.col("__at")).drop("__range", "__at")
 
 
 def sliced(df: DataFrame, key: str, batch_size: int, drop_last: bool = False) -> DataFrame:
     """``df`` cut into mini-batches in the order of ``key``: batch_id and sample."""
     rows = numbered(df, key, "__n")
     if drop_last:
-        rows = rows.where(F.col("__n") < df.count() // batch_size * batch_size)
+        rows = rows.where(F.col("__n") < rows.count() // batch_size * batch_size)  # of what is written
     return rows.withColumns({"batch_id": F.expr(f"__n DIV {int(batch_size)}"), "sample": (F.col("__n") % batch_size).cast("int")}).drop("__n")
 
 
@@ -56,8 +72,9 @@ def in_batch_order(df: DataFrame) -> DataFrame:
 
 def chunked(df: DataFrame, key: str, n: int) -> DataFrame:
     """``df`` with one of ``n`` chunks of nearly equal rows, in the order of ``key``."""
-    total = max(df.count(), 1)
-    return numbered(df, key, "__n").withColumn("chunk", F.expr(f"__n * {int(n)} DIV {int(total)}").cast("int")).drop("__n")
+    rows = numbered(df, key, "__n")
+    total = max(rows.count(), 1)
+    return rows.withColumn("chunk", F.expr(f"__n * {int(n)} DIV {int(total)}").cast("int")).drop("__n")
 
 
 def every_nth(step: Column, n: int) -> Column:

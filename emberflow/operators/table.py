@@ -80,10 +80,18 @@ def touch(table: DataFrame, rows: DataFrame, dim: int, hyper: Hyperparameters, o
 
 
 def evict(table: DataFrame, capacity: int, shard: Column) -> DataFrame:
-    """The ``capacity`` most recently used rows of every shard; ties keep the larger key."""
+    """The ``capacity`` most recently used rows of every shard; ties keep the larger key.
+
+    Shards are counted first, a row each; only the rows of those above capacity are ranked.
+    """
+    full = [r["__shard"] for r in table.groupBy(shard.alias("__shard")).count().where(F.col("count") > capacity).collect()]
+    if not full:
+        return table
     order = Window.partitionBy("__shard").orderBy(F.desc("last_access"), unsigned_order(F.col("sign")).desc())
-    ranked = table.withColumn("__shard", shard).withColumn("__rank", F.row_number().over(order))
-    return ranked.where(F.col("__rank") <= capacity).drop("__shard", "__rank")
+    placed = table.withColumn("__shard", shard)
+    over = F.col("__shard").isin(full)
+    ranked = placed.where(over).withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= capacity)
+    return placed.where(~over).drop("__shard").unionByName(ranked.drop("__shard", "__rank"))
 
 
 def upsert(table: DataFrame, rows: DataFrame, seq: str = "last_access") -> DataFrame:

@@ -58,7 +58,7 @@ SQL: dict[str, str] = {
     "payload_round_trip": f"WITH {N} SELECT n.batch_id, n.sample, n, coalesce(s, 0) AS part_sum, o_custkey AS cust FROM n JOIN orders ON o_orderkey = n.sample LEFT JOIN (SELECT l_orderkey, CAST(sum(l_partkey) AS BIGINT) AS s FROM lineitem GROUP BY 1) ON l_orderkey = n.sample",
     "checkpoint_reshard": f"SELECT CAST(h % 3 AS INTEGER) AS shard, count(*) AS signs, CAST(sum(vec_id) AS BIGINT) AS sign_sum, round(sum(embedding[1]::DOUBLE), 4) AS v FROM {_farm('vec_id', 'h', 'embeddings')} GROUP BY 1",
     "upsert_last_writer": "SELECT user_id AS sign, round(arg_max(value, event_id), 4) AS v, max(event_id) AS last_access FROM events GROUP BY 1",
-    "incremental_changed_signs": "SELECT vec_id AS sign, round(embedding[1]::DOUBLE, 4) AS v FROM embeddings WHERE vec_id IN (SELECT user_id FROM events WHERE event_id >= 5000)",
+    "incremental_changed_signs": "SELECT vec_id AS sign, round(embedding[1]::DOUBLE, 4) AS v FROM embeddings WHERE vec_id IN (SELECT user_id FROM events)",
     "packet_upsert": "SELECT coalesce(vec_id, u) AS sign, round(coalesce(m::DOUBLE, embedding[1]::DOUBLE), 4) AS v FROM embeddings FULL JOIN (SELECT user_id AS u, max(event_id) AS m FROM events GROUP BY 1) ON vec_id = u",
     "csv_round_trip": "SELECT o_orderpriority AS p, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1",
     "explode_features": """SELECT 'part' AS feature, l_orderkey AS sample, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS id_sum, CAST(count(*) - 1 AS INTEGER) AS last_col FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey
@@ -76,6 +76,8 @@ SQL: dict[str, str] = {
     "shard_repartition_sum": f"SELECT CAST(h % 7 AS INTEGER) AS shard, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS sign_sum FROM {_farm('l_partkey', 'h', 'lineitem')} GROUP BY 1",
     "unsigned_modulo": f"SELECT p_partkey, CAST(h % 1000003 AS BIGINT) AS r, CAST(h % 4503599627370495 AS BIGINT) + 22517998136852480 AS k FROM {_FARM_PART}",
     "emb_lookup_left": "SELECT l_orderkey AS sample, l_partkey AS sign, vec_id IS NULL AS miss, round(coalesce(embedding[1]::DOUBLE, 0), 4) AS v0, round(coalesce(embedding[2]::DOUBLE, 0), 4) AS v1 FROM lineitem LEFT JOIN embeddings ON l_partkey = vec_id",
+    "emb_lookup_half": """SELECT vec_id AS sign, CAST(p AS INTEGER) AS p, CASE WHEN x = 0 THEN 0 ELSE round_even(x / s, 0) * s END + 0.0::DOUBLE AS v
+      FROM (SELECT *, pow(2.0::DOUBLE, greatest(floor(log2(nullif(abs(x), 0))), -14) - 10) AS s FROM (SELECT vec_id, p, embedding[p + 1]::DOUBLE AS x FROM embeddings, range(64) r(p)))""",
     "emb_lookup_distinct": "SELECT DISTINCT l_partkey AS sign, vec_id IS NULL AS miss, round(coalesce(embedding[1]::DOUBLE, 0), 4) AS v FROM lineitem LEFT JOIN embeddings ON l_partkey = vec_id",
     "emb_sum_pool": _pool(False),
     "emb_sum_pool_sqrtn": _pool(True),

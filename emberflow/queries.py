@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .config import EmbeddingConfig, Hyperparameters, parse_embedding_config
 from .functions.optim import SGD, Adagrad, Adam, Optimizer
 from .functions.u64 import farmhash64, group_of, key_in_range, shard_of, u64_mod
-from .functions.vectors import all_finite, clamped, widen_half
+from .functions.vectors import all_finite, clamped, half_rounded, widen_half
 from .operators import features, grads, lookup, metrics, order, table
 from .operators.features import SAMPLE
 from .sources import batches, checkpoint
@@ -106,7 +106,7 @@ def upsert_last_writer(spark, d):
 
 
 def incremental_changed_signs(spark, d):
-    touched = _t(spark, d, "events").where("event_id >= 5000").select(F.col("user_id").alias("sign"))
+    touched = _t(spark, d, "events").select(F.col("user_id").alias("sign"))
     return checkpoint.changed_rows(_table(spark, d), touched).select("sign", F.round(F.get("emb", F.lit(0)).cast("double"), 4).alias("v"))
 
 
@@ -193,6 +193,12 @@ def emb_lookup_left(spark, d):
     return found.select("sample", "sign", "miss", *[F.round(F.get("emb", F.lit(i)).cast("double"), 4).alias(f"v{i}") for i in range(2)])
 
 
+def emb_lookup_half(spark, d):
+    """Whole vectors, rounded through half precision, as a lookup returns them."""
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("sign"), half_rounded(F.col("embedding").cast("array<float>")).alias("emb"))
+    return e.select("sign", F.posexplode("emb").alias("p", "v")).select("sign", "p", F.col("v").cast("double").alias("v"))
+
+
 def emb_lookup_distinct(spark, d):
     found = lookup.lookup_distinct(_lines(spark, d), _table(spark, d), D)
     return found.select("sign", "miss", F.round(F.get("emb", F.lit(0)).cast("double"), 4).alias("v"))
@@ -432,7 +438,7 @@ def stream_pool_available_now(spark, d):
 _ALL = [
     batch_halves_join, batch_sizes, payload_round_trip, checkpoint_reshard, upsert_last_writer, incremental_changed_signs, packet_upsert, csv_round_trip,
     explode_features, id_dedup_positions, id_counts_per_sample, id_unique_rate, id_approx_distinct, id_dense_index, id_truncate_fixed, hash_stack_buckets, prefix_signs, shard_counts, shard_repartition_sum, unsigned_modulo,
-    emb_lookup_left, emb_lookup_distinct, emb_sum_pool, emb_sum_pool_sqrtn, emb_miss_ratio, emb_dim_mismatch, raw_index_padded, raw_mask, raw_distinct_rows, raw_gather, raw_non_empty, feature_concat,
+    emb_lookup_left, emb_lookup_half, emb_lookup_distinct, emb_sum_pool, emb_sum_pool_sqrtn, emb_miss_ratio, emb_dim_mismatch, raw_index_padded, raw_mask, raw_distinct_rows, raw_gather, raw_non_empty, feature_concat,
     grad_sum_per_sign, grad_unscale_sqrt, grad_nan_skip, grad_skip_counts, grad_finite_check, raw_grad_index_add, gradient_miss_anti, dense_all_reduce,
     opt_sgd_step, opt_adagrad_step, opt_adagrad_shared_step, opt_adam_step, weight_clamp, f16_clamp, lru_evict, train_touch_insert, adam_step_powers,
     batch_slicing, batch_reorder, batch_route, batch_chunks, auc_exact, batch_accuracy, logloss, ordinal_encode, tabular_prepare, pending_batches, stream_pool_available_now,

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.order import numbered
+
 #: The types that dense features and labels may have.
 DENSE_TYPES = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 MAX_BATCH = 65535
@@ -83,17 +85,10 @@ def read_table(spark: SparkSession, path: str, schema: str, skip_first: bool = F
 def ordinal_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): sorted distinct values numbered from 0. Fit once, on the training data.
 
-    Distinct values are numbered within ranges of their first two bytes and
-    shifted by the counts of the ranges before (at most 65,536 of them).
+    Numbered in ranges of the values themselves, so a common prefix does no harm.
     """
     values = df.select(F.col(column).cast("string").alias("value")).where("value IS NOT NULL").distinct()
-    head = F.rpad(F.hex(F.substring(F.encode("value", "UTF-8"), 1, 2)), 4, "0")
-    values = values.withColumn("__head", F.conv(head, 16, 10).cast("int"))
-    counts = values.groupBy("__head").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__head", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    rank = F.row_number().over(Window.partitionBy("__head").orderBy("value"))
-    return values.join(starts, "__head").select("value", (F.col("__start") + rank - 1).alias("code"))
+    return numbered(values, "value", "code")
 
 
 def encode_ordinal(df: DataFrame, column: str, codes: DataFrame, out: str | None = None) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A fresh path below ``spark.checkpoint.dir``; a temporary one only where that is unset and the session is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="emberflow-")

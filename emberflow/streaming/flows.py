@@ -63,9 +63,12 @@ def train_stream(batches: DataFrame, step: Callable[[DataFrame, DataFrame, int],
 
     The new table is published under the epoch's number before the epoch
     commits, so a repeated epoch writes the same generation again: exactly once.
-    With staleness K a lookup sees the table of K - 1 generations before. With
-    ``packets`` the touched rows are published for servers.
+    With staleness K a lookup sees the table of K - 1 generations before, so K
+    are kept, and one more for a repeated epoch. With ``packets`` the touched
+    rows are published for servers.
     """
+    if generations.keep <= staleness:
+        raise ValueError(f"staleness {staleness} needs more than {staleness} generations kept, not {generations.keep}")
 
     def run(batch: DataFrame, epoch: int) -> None:
         held = batch.persist()
@@ -75,7 +78,7 @@ def train_stream(batches: DataFrame, step: Callable[[DataFrame, DataFrame, int],
                 table, signs = step(held, generations.read(staleness - 1), epoch)
                 generations.publish(table, epoch + 1)
             else:
-                _, signs = step(held, generations.read(1), epoch)
+                _, signs = step(held, generations.read(staleness), epoch)  # what the first attempt read
             if packets:
                 write_packet(generations.read(), signs, packets, epoch)
         finally:
@@ -89,7 +92,8 @@ def follow_packets(packets: DataFrame, generations: Generations, checkpoint: str
     """A server's table: every new packet is upserted into the next generation."""
 
     def run(packet: DataFrame, epoch: int) -> None:
-        generations.publish(apply_packet(generations.read(), packet), epoch + 1)
+        if epoch + 1 not in generations.numbers():  # a repeated epoch was published whole
+            generations.publish(apply_packet(generations.read(), packet), epoch + 1)
 
     writer = packets.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
