@@ -17,11 +17,13 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, the folder all executors share.
 
-    Only where the session names none (tests) a temporary folder becomes the
-    checkpoint folder.
+    Only where a local session names none (tests) a temporary folder takes its
+    place; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = spark.conf.get("spark.emberflow.scratch", None)
