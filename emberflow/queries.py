@@ -1,7 +1,7 @@
 """One query per operator, over the star-schema tables that stand in for feature batches.
 
 sample = order, multi-id features = part and supplier keys of its lines, single
-id = customer, table = ``embeddings`` with the first ``D`` elements, batch =
+id = customer, table = ``embeddings``, whole vectors of ``D`` elements, batch =
 128 orders. Results are flat and rounded, to be compared with SQL.
 """
 
@@ -21,7 +21,7 @@ from .operators.features import SAMPLE
 from .sources import batches, checkpoint
 from .sources.scratch import scratch
 
-D = 8
+D = 64
 BATCH = 128
 FIXED = 10
 SLOTS: EmbeddingConfig = parse_embedding_config({"feature_index_prefix_bit": 12, "slots_config": {"part": {"dim": D, "embedding_summation": True}, "supp": {"dim": D, "hash_stack_config": {"hash_stack_rounds": 2, "embedding_size": 10}}}})
@@ -58,7 +58,7 @@ def _nested(spark: SparkSession, d: str) -> DataFrame:
 
 def _table(spark: SparkSession, d: str, optimizer: Optimizer = SGD()) -> DataFrame:
     e = _t(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("sign"), F.lit(D).alias("dim"), F.slice("embedding", 1, D).alias("emb"), optimizer.initial_state(D).alias("opt"), F.col("vec_id").alias("last_access"))
+    return e.select(F.col("vec_id").alias("sign"), F.lit(D).alias("dim"), F.col("embedding").alias("emb"), optimizer.initial_state(D).alias("opt"), F.col("vec_id").alias("last_access"))
 
 
 def _grads(spark: SparkSession, d: str, feature: str = "part") -> DataFrame:
@@ -72,6 +72,18 @@ def _flat(df: DataFrame, vector: str, *keys: str, out: str = "v", dims: int = D)
     return rows.withColumn(out, F.round(F.col(out).cast("double"), 4))
 
 
+def _sums(vector: str) -> list[Column]:
+    """Sum of all elements, and sum weighted by place, which tells permutations apart."""
+    add = lambda a, x: a + x
+    v = F.aggregate(F.transform(vector, lambda x: x.cast("double")), F.lit(0.0), add)
+    placed = F.aggregate(F.transform(F.slice(vector, 1, D), lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), add)
+    return [v, placed]
+
+
+def _rounded(vector: str) -> list[Column]:
+    return [F.round(c, 4).alias(n) for c, n in zip(_sums(vector), ("v", "vp"), strict=True)]
+
+
 # scans, batches ------------------------------------------------------------------------
 
 
@@ -95,7 +107,7 @@ def checkpoint_reshard(spark, d):
     path = scratch(spark, "table")
     checkpoint.save_table(_table(spark, d), path, 5)
     loaded = checkpoint.load_table(spark, path, 3)
-    return loaded.groupBy(shard_of(F.col("sign"), 3).alias("shard")).agg(F.count("*").alias("signs"), F.sum("sign").alias("sign_sum"), F.round(F.sum(F.get("emb", F.lit(0)).cast("double")), 4).alias("v"))
+    return loaded.groupBy(shard_of(F.col("sign"), 3).alias("shard")).agg(F.count("*").alias("signs"), F.sum("sign").alias("sign_sum"), *[F.round(F.sum(c), 3).alias(n) for c, n in zip(_sums("emb"), ("v", "vp"), strict=True)])
 
 
 def upsert_last_writer(spark, d):
@@ -107,14 +119,14 @@ def upsert_last_writer(spark, d):
 
 def incremental_changed_signs(spark, d):
     touched = _t(spark, d, "events").select(F.col("user_id").alias("sign"))
-    return checkpoint.changed_rows(_table(spark, d), touched).select("sign", F.round(F.get("emb", F.lit(0)).cast("double"), 4).alias("v"))
+    return _flat(checkpoint.changed_rows(_table(spark, d), touched), "emb", "sign")
 
 
 def packet_upsert(spark, d):
     t = _table(spark, d)
     e = _t(spark, d, "events").select(F.col("user_id").alias("sign"), "ts", F.col("event_id").cast("double").alias("x"), "event_id")
     packet = e.select("sign", F.lit(D).alias("dim"), F.array_repeat(F.col("x").cast("float"), D).alias("emb"), F.array().cast("array<float>").alias("opt"), (F.col("event_id") + 1_000_000).alias("last_access"), F.timestamp_seconds(F.col("event_id")).alias("emitted_at"))
-    return checkpoint.apply_packet(t, packet).select("sign", F.round(F.get("emb", F.lit(0)).cast("double"), 4).alias("v"))
+    return _flat(checkpoint.apply_packet(t, packet), "emb", "sign")
 
 
 def csv_round_trip(spark, d):
@@ -190,7 +202,7 @@ def unsigned_modulo(spark, d):
 
 def emb_lookup_left(spark, d):
     found = lookup.lookup(_lines(spark, d), _table(spark, d), D)
-    return found.select("sample", "sign", "miss", *[F.round(F.get("emb", F.lit(i)).cast("double"), 4).alias(f"v{i}") for i in range(2)])
+    return found.select("sample", "sign", "miss", *_rounded("emb"))
 
 
 def emb_lookup_half(spark, d):
@@ -201,7 +213,7 @@ def emb_lookup_half(spark, d):
 
 def emb_lookup_distinct(spark, d):
     found = lookup.lookup_distinct(_lines(spark, d), _table(spark, d), D)
-    return found.select("sign", "miss", F.round(F.get("emb", F.lit(0)).cast("double"), 4).alias("v"))
+    return _flat(found, "emb", "sign", "miss")
 
 
 def _pooled(spark, d, **how):
@@ -242,12 +254,13 @@ def raw_mask(spark, d):
 
 
 def raw_distinct_rows(spark, d):
-    return _flat(_raw(spark, d)[0], "emb", "batch_id", "distinct_idx", dims=2)
+    return _flat(_raw(spark, d)[0], "emb", "batch_id", "distinct_idx")
 
 
 def raw_gather(spark, d):
     rows = lookup.gathered(*_raw(spark, d)).select("sample", F.posexplode("rows").alias("col", "r"))
-    return rows.select("sample", "col", F.round(F.get("r", F.lit(0)).cast("double"), 4).alias("v"), F.get("r", F.lit(D)).cast("double").alias("mask"))
+    mask = F.get("r", F.lit(D)).cast("double").alias("mask")
+    return rows.select("sample", "col", mask, F.slice("r", 1, D).alias("r")).select("sample", "col", *_rounded("r"), "mask")
 
 
 def raw_non_empty(spark, d):
@@ -270,7 +283,7 @@ def grad_sum_per_sign(spark, d):
 def grad_unscale_sqrt(spark, d):
     big = F.transform("grad", lambda g: F.when(g == 1, F.lit(float("inf"))).otherwise(g * 128))
     g = grads.unscaled(_grads(spark, d).withColumns({"grad": big, "scale": F.lit(128.0)}))
-    return _flat(grads.sqrt_scaled(g, _counts(spark, d)), "grad", "sample", out="g", dims=2)
+    return _flat(grads.sqrt_scaled(g, _counts(spark, d)), "grad", "sample", out="g")
 
 
 def _spoiled(spark, d):
@@ -294,7 +307,7 @@ def grad_finite_check(spark, d):
 def raw_grad_index_add(spark, d):
     at = _raw(spark, d)[1].select(*SAMPLE, F.posexplode("idx").alias("col", "distinct_idx"))
     g = at.join(_grads(spark, d), SAMPLE)
-    return _flat(grads.raw_index_add(g, D), "grad", "batch_id", "distinct_idx", out="g", dims=2)
+    return _flat(grads.raw_index_add(g, D), "grad", "batch_id", "distinct_idx", out="g")
 
 
 def gradient_miss_anti(spark, d):
@@ -311,9 +324,10 @@ def dense_all_reduce(spark, d):
 def _step(spark, d, optimizer: Optimizer, bound: float = 10.0):
     g = grads.grads_per_sign(_lines(spark, d), _grads(spark, d), D)
     t = table.apply_gradients(_table(spark, d, optimizer), g, optimizer, Hyperparameters(weight_bound=bound), 1)
-    w = _flat(t, "emb", "sign", out="w")
-    n = optimizer.state_size(D)
-    return w if n == 0 else w.join(_flat(t, "opt", "sign", out="s", dims=n).where(F.col("p") < D), ["sign", "p"], "left")
+    parts = [F.col("emb").alias("w"), F.slice("opt", 1, D).alias("s"), F.slice("opt", D + 1, D).alias("s2")][: 1 + -(-optimizer.state_size(D) // D)]
+    names = ("w", "s", "s2")[: len(parts)]
+    rows = t.select("sign", *parts).select("sign", F.posexplode(F.arrays_zip(*names)).alias("p", "r"))
+    return rows.select("sign", "p", *[F.round(F.col(f"r.{n}").cast("double"), 4).alias(n) for n in names])
 
 
 def opt_sgd_step(spark, d):
