@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from typing import Protocol
 
 from pyspark.sql import Column
@@ -115,3 +115,16 @@ class Adam:
         p1, p2 = self.powers(steps)
         move = F.zip_with(m, v, lambda m, v: self.lr * (m / (1 - p1)) / (self.eps + F.sqrt(v / (1 - p2))))
         return _f(F.zip_with(emb, move, lambda w, d: w - d)), _f(F.concat(m, v))
+
+
+def to_dict(optimizer: Optimizer) -> dict:
+    """Kind and hyper-parameters of an optimizer of this module; of any other its name only."""
+    kind = type(optimizer).__name__
+    return {"kind": kind} | (asdict(optimizer) if isinstance(optimizer, (SGD, Adagrad, Adam)) else {})
+
+
+def from_dict(d: dict) -> Optimizer:
+    kinds = {c.__name__: c for c in (SGD, Adagrad, Adam)}
+    if d["kind"] not in kinds:
+        raise ValueError(f"the checkpoint was made with {d['kind']}; give the session such an optimizer")
+    return kinds[d["kind"]](**{k: v for k, v in d.items() if k != "kind"})

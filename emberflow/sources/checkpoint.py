@@ -112,12 +112,16 @@ class Generations:
         found = [n for n in self.store.names() if n.startswith("gen=")]
         return sorted(int(n[4:]) for n in found if self.store.exists(f"{n}/_SUCCESS"))
 
-    def read(self, lag: int = 0) -> DataFrame:
+    def number(self, lag: int = 0, upto: int | None = None) -> int | None:
+        """Number of the newest generation (up to ``upto``), or of that ``lag`` before it, the first if there are fewer."""
+        there = [n for n in self.numbers() if upto is None or n <= upto]
+        return there[max(0, len(there) - 1 - lag)] if there else None
+
+    def read(self, lag: int = 0, upto: int | None = None) -> DataFrame:
         """The current table, or that of ``lag`` generations before (bounded staleness)."""
-        there = self.numbers()
-        if not there:
+        n = self.number(lag, upto)
+        if n is None:
             return self.spark.createDataFrame([], TABLE)
-        n = there[max(0, len(there) - 1 - lag)]
         return self.spark.read.schema(TABLE).parquet(f"{self.store.root}/gen={n}")
 
     def publish(self, table: DataFrame, number: int | None = None) -> int:

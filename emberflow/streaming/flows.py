@@ -58,14 +58,16 @@ def reorder(batches: DataFrame, world: int, stall_ms: int = 1000) -> DataFrame:
     return keyed.groupBy("rank").applyInPandasWithState(release, "rank long, batch_id long, payload string", "expected long, ids array<long>, payloads array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def train_stream(batches: DataFrame, step: Callable[[DataFrame, DataFrame, int], tuple[DataFrame, DataFrame]], generations: Generations, checkpoint: str, staleness: int = 1, packets: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Run ``step(batch, table, epoch) -> (new table, touched signs)`` on every micro-batch.
+def train_stream(batches: DataFrame, step: Callable[[DataFrame, DataFrame, DataFrame, int], tuple[DataFrame, DataFrame]], generations: Generations, checkpoint: str, staleness: int = 1, packets: str | None = None, gauge: Callable[[str, float], None] | None = None, available_now: bool = True) -> StreamingQuery:
+    """Run ``step(batch, seen, current, epoch) -> (new table, touched signs)`` on every micro-batch.
 
     The new table is published under the epoch's number before the epoch
     commits, so a repeated epoch writes the same generation again: exactly once.
-    With staleness K a lookup sees the table of K - 1 generations before, so K
-    are kept, and one more for a repeated epoch. With ``packets`` the touched
-    rows are published for servers.
+    With staleness K a lookup sees the table ``seen`` of K - 1 generations before,
+    so K are kept, and one more for a repeated epoch; gradients are applied to
+    ``current`` (the same object if K is 1), so no step is lost. ``gauge`` gets the
+    generations between the two. With ``packets`` the touched rows are published
+    for servers.
     """
     if generations.keep <= staleness:
         raise ValueError(f"staleness {staleness} needs more than {staleness} generations kept, not {generations.keep}")
@@ -73,14 +75,15 @@ def train_stream(batches: DataFrame, step: Callable[[DataFrame, DataFrame, int],
     def run(batch: DataFrame, epoch: int) -> None:
         held = batch.persist()
         try:
-            done = [n for n in generations.numbers() if n >= epoch + 1]
-            if not done:
-                table, signs = step(held, generations.read(staleness - 1), epoch)
+            current = generations.read(upto=epoch)  # the same at a repetition
+            seen = generations.read(staleness - 1, epoch) if staleness > 1 else current
+            if gauge:
+                gauge("staleness", float((generations.number(0, epoch) or 0) - (generations.number(staleness - 1, epoch) or 0)))
+            table, signs = step(held, seen, current, epoch)
+            if epoch + 1 not in generations.numbers():
                 generations.publish(table, epoch + 1)
-            else:
-                _, signs = step(held, generations.read(staleness), epoch)  # what the first attempt read
             if packets:
-                write_packet(generations.read(), signs, packets, epoch)
+                write_packet(generations.read(upto=epoch + 1), signs, packets, epoch)
         finally:
             held.unpersist()
 

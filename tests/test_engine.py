@@ -311,22 +311,26 @@ def train_step(s, b):
 
 def test_session_trains_saves_and_serves(spark, tmp_path):
     df = training_rows(spark)
-    losses = []
+    losses, plans = [], []
     with session(spark) as s:
+        s.loss_scale = LossScale(8.0)
         assert current() is s
         b = s.ingest(df, ["a", "b", "r"], ["d"], ["y"])
         for _ in range(3):
             scored = s.infer(b, ["a", "b"], ["d"]).join(df, ["batch_id", "sample"])
             losses.append(metrics.log_loss(scored, "score", "y").first().log_loss)
             train_step(s, b)
-            s.table = spark.createDataFrame(s.table.collect(), table.TABLE)
+            plans.append(len(s.table._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        assert plans[0] == plans[2]  # a scan, whatever went before
         assert losses[2] < losses[1] < losses[0]
         assert sum(r.signs for r in s.sizes().collect()) == s.table.count() > 20
         distinct, index = s.raw_lookup(b, "r")
         assert index.count() == 200 and distinct.count() == 8
         s.save(str(tmp_path / "m"))
         other = session(spark, job_type="infer")
+        other.optimizer = SGD()
         other.load(str(tmp_path / "m"))
+        assert (other.optimizer, other.hyper, other.seq, other.loss_scale) == (s.optimizer, s.hyper, 3, LossScale(8.0, good=3))
         assert sorted(map(tuple, other.infer(b, ["a", "b"], ["d"]).collect())) == sorted(map(tuple, s.infer(b, ["a", "b"], ["d"]).collect()))
         payload = batches.to_payload(df.select("batch_id", "sample", "a", "b", "d"))
         answers = other.infer_payloads(payload, "sample long, a array<long>, b long, d double", ["a", "b"], ["d"]).collect()
@@ -344,9 +348,10 @@ def test_training_stream_is_repeatable(spark, tmp_path):
     for k in range(3):
         df.where(F.col("batch_id") == k).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
 
-    def step(batch, t, epoch):
+    def step(batch, seen, current, epoch):
+        assert seen is current
         s = session(spark)
-        s.table, s.seq = t, epoch
+        s.table, s.seq = current, epoch
         signs = train_step(s, batch)
         return s.table, signs
 
@@ -359,6 +364,28 @@ def test_training_stream_is_repeatable(spark, tmp_path):
         results.append(sorted((r.sign, tuple(round(x, 5) for x in r.emb)) for r in gens.read().collect()))
     assert results[0] == results[1] and len(results[0]) > 20
     assert spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "p0")).count() > 20
+    gaps, tables = [], {}
+    for k in (1, 2):  # the session's own stream, fresh and one generation behind
+        gens = checkpoint.Generations(spark, str(tmp_path / f"s{k}"), keep=4)
+        source = flows.file_source(spark, str(tmp_path / "in" / "*"), df.schema.simpleString()[7:-1].replace(":", " "), 1)
+        q = session(spark).train_stream(source, ["a", "b"], ["d"], "y", gens, str(tmp_path / f"sl{k}"), staleness=k, gauge=lambda _, v, k=k: gaps.append((k, v)))
+        assert flows.wait(q, 300)
+        tables[k] = sorted((r.sign, tuple(round(x, 5) for x in r.emb)) for r in gens.read().collect())
+    assert tables[1] == results[0]
+    assert [s for s, _ in tables[2]] == [s for s, _ in tables[1]] and tables[2] != tables[1]
+    assert gaps == [(1, 0.0)] * 3 + [(2, 0.0), (2, 0.0), (2, 1.0)]
+
+
+def test_loss_scale_leaves_out_steps_that_are_not_finite(spark):
+    df = training_rows(spark, 20)
+    with session(spark) as s:
+        s.loss_scale = LossScale(64.0)
+        b = s.ingest(df, ["a", "b", "r"], ["d"], ["y"])
+        s.lookup(b, ["a", "b"])
+        before = sorted(map(tuple, s.table.collect()))
+        g = df.select("batch_id", F.lit("b").alias("feature"), "sample", F.array_repeat(F.lit(float("inf")), 4).alias("grad"), F.lit(64.0).alias("scale"))
+        assert s.apply_gradients(b, ["a", "b"], g).count() == 0
+        assert s.loss_scale.scale == 16.0 and sorted(map(tuple, s.table.collect())) == before
 
 
 def test_listener_reports_observed_metrics(spark, tmp_path):
