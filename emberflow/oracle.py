@@ -102,6 +102,10 @@ SQL: dict[str, str] = {
     "gradient_miss_anti": "SELECT DISTINCT l_partkey AS sign FROM lineitem WHERE l_partkey NOT IN (SELECT vec_id FROM embeddings)",
     "dense_all_reduce": f"WITH {G} SELECT p, round(avg(g), 4) AS g FROM g GROUP BY 1",
     "opt_sgd_step": f"WITH {SUMS} {_opt('w - 0.01::DOUBLE * (g + 0.1::DOUBLE * w)')} j",
+    "opt_per_feature_steps": f"""WITH {SUMS}, s2 AS (SELECT l_suppkey AS sign, p, sum(g) AS g2 FROM lineitem JOIN g ON sample = l_orderkey GROUP BY 1, 2),
+      one AS (SELECT sign, p, CASE WHEN g IS NULL THEN w ELSE CAST(CAST(greatest(-10, least(10, w - 0.01::DOUBLE * (g + 0.1::DOUBLE * w))) AS FLOAT) AS DOUBLE) END AS w FROM j)
+      SELECT one.sign, one.p, {_F('CASE WHEN g2 IS NULL THEN w ELSE greatest(-10, least(10, w - 0.01::DOUBLE * (g2 + 0.1::DOUBLE * w))) END')} AS w FROM one LEFT JOIN s2 ON one.sign = s2.sign AND one.p = s2.p""",
+    "entry_parts": f"SELECT vec_id AS sign, {_V(4)}, 1::INTEGER AS n, 0.01::DOUBLE AS s FROM embeddings",
     "opt_adagrad_step": f"WITH {SUMS} {_opt(f'w - 0.01::DOUBLE * g / sqrt({_C01} + 1e-10)', f'{_C01} + g * g')} (SELECT *, {_C01} AS s FROM j)",
     "opt_adagrad_shared_step": f"WITH {SUMS} SELECT sign, p, {_F(f'CASE WHEN g IS NULL THEN w ELSE greatest(-10, least(10, w - 0.01::DOUBLE * g / sqrt({_C01} + 1e-10))) END')} AS w, CASE WHEN p = 0 THEN {_F(f'{_C01} + coalesce(q, 0)')} END AS s FROM (SELECT *, avg(g * g) OVER (PARTITION BY sign) AS q FROM j)",
     "opt_adam_step": f"""WITH {SUMS}, a AS (SELECT *, 0.1::DOUBLE * g AS m, 0.001::DOUBLE * g * g AS v FROM j)
@@ -128,7 +132,7 @@ SQL: dict[str, str] = {
 SQL["stream_pool_available_now"] = f"SELECT * FROM ({_pool(False)}) WHERE sample IN (SELECT l_orderkey FROM lineitem)"
 
 #: Columns whose rounded values may be a negative zero, which is brought to zero.
-_FLOATS = {"v": "emb_sum_pool emb_sum_pool_sqrtn stream_pool_available_now feature_concat incremental_changed_signs packet_upsert emb_lookup_distinct raw_distinct_rows weight_clamp upsert_last_writer", "g": "grad_sum_per_sign grad_unscale_sqrt raw_grad_index_add dense_all_reduce", "w": "opt_sgd_step", "w s": "opt_adagrad_step opt_adagrad_shared_step", "w s s2": "opt_adam_step", "v vp": "emb_lookup_left raw_gather checkpoint_reshard", "s0 s1 s2": "f16_clamp"}
+_FLOATS = {"v": "emb_sum_pool emb_sum_pool_sqrtn stream_pool_available_now feature_concat incremental_changed_signs packet_upsert emb_lookup_distinct raw_distinct_rows weight_clamp upsert_last_writer", "g": "grad_sum_per_sign grad_unscale_sqrt raw_grad_index_add dense_all_reduce", "w": "opt_sgd_step opt_per_feature_steps", "w s": "opt_adagrad_step opt_adagrad_shared_step", "w s s2": "opt_adam_step", "v vp": "entry_parts emb_lookup_left raw_gather checkpoint_reshard", "s0 s1 s2": "f16_clamp"}
 for _columns, _names in _FLOATS.items():
     for _name in _names.split():
         _plus = ", ".join(f"{c} + 0.0::DOUBLE AS {c}" for c in _columns.split())

@@ -346,6 +346,21 @@ def opt_adam_step(spark, d):
     return _step(spark, d, Adam())
 
 
+def opt_per_feature_steps(spark, d):
+    """Two features that share keys: the step of the second starts from that of the first."""
+    rows = _lines(spark, d).union(_lines(spark, d, "supp"))
+    g = grads.grads_per_sign(rows, _grads(spark, d).union(_grads(spark, d, "supp")), D, per_feature=True)
+    t = table.apply_per_feature(_table(spark, d), g, ["part", "supp"], SGD(lr=0.01, weight_decay=0.1), Hyperparameters())
+    return _flat(t, "emb", "sign", out="w")
+
+
+def entry_parts(spark, d):
+    """Weights and state of entries stored as one array."""
+    t = _table(spark, d, Adagrad(vectorwise_shared=True)).withColumn("entry", F.concat("emb", "opt"))
+    parts = t.select("sign", table.vector_part(F.col("entry"), D).alias("emb"), table.state_part(F.col("entry"), D).alias("state"))
+    return parts.select("sign", *_rounded("emb"), F.size("state").alias("n"), F.round(F.get("state", F.lit(0)).cast("double"), 6).alias("s"))
+
+
 def weight_clamp(spark, d):
     return _flat(_table(spark, d).withColumn("emb", clamped(F.col("emb"), 0.05)), "emb", "sign")
 
@@ -454,7 +469,7 @@ _ALL = [
     explode_features, id_dedup_positions, id_counts_per_sample, id_unique_rate, id_approx_distinct, id_dense_index, id_truncate_fixed, hash_stack_buckets, prefix_signs, shard_counts, shard_repartition_sum, unsigned_modulo,
     emb_lookup_left, emb_lookup_half, emb_lookup_distinct, emb_sum_pool, emb_sum_pool_sqrtn, emb_miss_ratio, emb_dim_mismatch, raw_index_padded, raw_mask, raw_distinct_rows, raw_gather, raw_non_empty, feature_concat,
     grad_sum_per_sign, grad_unscale_sqrt, grad_nan_skip, grad_skip_counts, grad_finite_check, raw_grad_index_add, gradient_miss_anti, dense_all_reduce,
-    opt_sgd_step, opt_adagrad_step, opt_adagrad_shared_step, opt_adam_step, weight_clamp, f16_clamp, lru_evict, train_touch_insert, adam_step_powers,
+    opt_sgd_step, opt_adagrad_step, opt_adagrad_shared_step, opt_adam_step, opt_per_feature_steps, entry_parts, weight_clamp, f16_clamp, lru_evict, train_touch_insert, adam_step_powers,
     batch_slicing, batch_reorder, batch_route, batch_chunks, auc_exact, batch_accuracy, logloss, ordinal_encode, tabular_prepare, pending_batches, stream_pool_available_now,
 ]
 
