@@ -38,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -327,19 +327,25 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
 
     Alternates large-star and small-star; both are a minimum per node with
     partial aggregation and one join, so no neighbourhood is gathered. Each
-    round is written to the shared folder; rounds grow with the logarithm of the nodes.
+    round is written to the shared folder, which also counts and sums up its
+    pairs; rounds grow with the logarithm of the nodes and end when none changes.
     """
-    pairs = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
-    before = None
-    while True:
+
+    def written(pairs: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+        seen = Observation()
+        sums = F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")
+        pairs = materialize(pairs.observe(seen, *sums), tag)
+        return pairs, (seen.get["n"], seen.get["x"])
+
+    pairs, before = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while before[0]:
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(down, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        pairs = materialize(small, tag)
-        now = pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
+        pairs, now = written(small)
         if now == before:
             break
         before = now
@@ -438,25 +444,27 @@ def proposed_pairs(prints: DataFrame, params: SimHashParams) -> DataFrame:
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, params: SimHashParams) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose ``texts`` (node, body) have shingle sets of the wanted Jaccard similarity."""
+    """Those of ``pairs`` (a, b and more) whose ``texts`` (node, body) have shingle sets of the wanted Jaccard similarity."""
     import pyarrow as pa
 
     one = lambda n: texts.select(F.col("node").alias(n), F.col("body").alias(f"body_{n}"))
-    both = pairs.select("a", "b").join(one("b"), "b").join(one("a"), "a").select("a", "b", "body_a", "body_b")
+    both = pairs.join(one("b"), "b").join(one("a"), "a").select(*pairs.columns, "body_a", "body_b")
+    names = pairs.columns
+    n, at = len(names), names.index("a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int | None, np.ndarray] = (None, np.zeros(0))
         for batch in batches:
             keep = []
-            for a, x, y in zip(*(batch.column(k) for k in (0, 2, 3)), strict=True):
+            for a, x, y in zip(*(batch.column(k) for k in (at, n, n + 1)), strict=True):
                 if a.as_py() != held[0]:
                     held = a.as_py(), np.unique(shingle_hashes(x.as_py(), params.shingle))
                 other = np.unique(shingle_hashes(y.as_py(), params.shingle))
                 common = len(np.intersect1d(held[1], other, assume_unique=True))
                 keep.append(common >= params.similarity * (len(held[1]) + len(other) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=names).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(check, pairs.schema)
 
 
 def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", params: SimHashParams = NEAR_DUPLICATES) -> DataFrame:
@@ -482,10 +490,11 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", par
     label = connected_components(sure, "near-classes")
     of = lambda n: label.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
     apart = pairs.select("a", "b").join(near, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    apart = apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    rest = materialize(similar_pairs(apart, bodies, params), "similar-apart")
-    links = connected_components(sure.union(rest), "near-classes")
-    rooted = materialize(prints.join(links, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "roots")
+    apart = apart.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")).where("root_a <> root_b")
+    rest = similar_pairs(apart, bodies, params).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    over = connected_components(rest, "near-classes").select(F.col("node").alias("first"), F.col("root").alias("final"))
+    first = prints.join(label, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("first"))
+    rooted = materialize(first.join(over, "first", "left").select("fp", "least", F.coalesce("final", "first").alias("root")), "roots")
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(classes, "root").select("fp", "component_id")
     return rows.join(named, "fp", "left").select(F.col("id").alias(id), "component_id")
