@@ -73,7 +73,8 @@ class SimHashParams:
 #: The contract of the query: one 64-bit fingerprint of 3-word shingles, links at 2 bits.
 CONTRACT = SimHashParams(shingle=3, blocks=1, probes=((0, 64),), radius=2, limit=2, distinct=False)
 #: Five words and a similarity of 0.8: angles of 0.151 pi, 19 of 128 bits on average.
-NEAR_DUPLICATES = SimHashParams()
+#: 24 trees give tasks enough, so shards are larger (40 bytes a row, 5 MB): each level of a tree sends a quarter of its rows to both sides.
+NEAR_DUPLICATES = SimHashParams(shard=131_072, block=262_144)
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
